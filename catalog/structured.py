@@ -428,7 +428,7 @@ for _i, _a in enumerate(FIVE):
     for _b in FIVE[_i + 1 :]:
         DERIVED[f"{_a}_x_{_b}"] = f"{_a} * {_b}"
 for _a in FIVE:
-    DERIVED |= {f"{_a}_squared": f"{_a} * {_a}", f"{_a}_sqrt": f"sqrt(abs({_a}))", f"{_a}_inverse": f"1 / (1 + {_a})"}
+    DERIVED |= {f"{_a}_squared": f"{_a} * {_a}", f"{_a}_sqrt": f"sqrt(abs({_a}))", f"{_a}_inverse": f"1 / (1 + {_a})", f"{_a}_log": f"ln(1 + {_a})"}
 
 
 def derived(spark, sf_dir, *others: str) -> DataFrame:

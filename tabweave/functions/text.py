@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.wordlists import COMMON_WORDS, EMOTICONS, SPECIAL_MARKS
 
-# The code points that count as white space.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-# What cleaning removes, in order, and what it keeps.
-LINK = rf"http[^{SPACE}]+|www[^{SPACE}]+|https[^{SPACE}]+"
-MAIL = rf"(?<![^{SPACE}])[^{SPACE}][^{SPACE}@]*+@[^{SPACE}]+"
-MENTION_OR_TAG = r"(?U)@\w+|#\w+"
-NOT_KEPT = rf"[^a-zA-Zа-яА-Я0-9{SPACE}.,!?\-:]"
-SPACES = rf"[{SPACE}]+"
-
+# White space beyond what the regular expression class \\s holds.
+RARE_SPACES = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+# What cleaning removes, in order, and the marks it keeps.
+LINK = r"(?:http|www)\S+"
+MAIL = r"(?<!\S)\S[^\s@]*+@\S+"
+MENTION_OR_TAG = r"(?U)[@#]\w+"
+KEPT_MARKS = ".,!?-:"
+KEPT_SPACES = " \t\n\x0b\f\r"
+OTHER_LETTERS = r"[^\x00-\x7fа-яА-Я]"
+
+BLANKED_MARKS = "".join(
+    chr(i) for i in range(1, 128) if not chr(i).isalnum() and chr(i) not in KEPT_MARKS + KEPT_SPACES
+)
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 UPPER = r"\p{IsUppercase}"
 TOKEN = r"(?U)\b\w\w+\b"
-PROSE_WORD = rf"[{SPACE}]+[a-zA-Zа-яА-Я]+[{SPACE}]+"
+PROSE_WORD = r"\s+[a-zA-Zа-яА-Я]+\s+"
 
 
 def bind(value: Column, body) -> Column:
@@ -32,23 +39,29 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def plain_spaces(c: Column) -> Column:
+    """Rare white space as blanks, so that the fast ASCII class finds all of it."""
+    return F.translate(c, RARE_SPACES, " " * len(RARE_SPACES))
+
+
 def clean_text(c: Column) -> Column:
     """Drop links, mails, mentions and tags, blank other marks, collapse spaces, lower the case.
 
     Mails are matched from the start of a run without backing up, so one long unbroken run costs
-    linear time.
+    linear time. ASCII marks are blanked by a table, only other scripts by a pattern.
     """
-    out = F.coalesce(c, F.lit(""))
+    out = plain_spaces(F.coalesce(c, F.lit("")))
     for pattern in (LINK, MAIL, MENTION_OR_TAG):
         out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, NOT_KEPT, " ")
-    out = F.regexp_replace(out, SPACES, " ")
+    out = F.translate(out, BLANKED_MARKS, " " * len(BLANKED_MARKS))
+    out = F.regexp_replace(out, OTHER_LETTERS, " ")
+    out = F.regexp_replace(out, r"\s+", " ")
     return F.lower(F.trim(out))
 
 
 def words(c: Column) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(c, SPACES), lambda w: w != "")
+    return F.filter(F.split(plain_spaces(c), r"\s+"), lambda w: w != "")
 
 
 def count_marks(c: Column, marks: str) -> Column:
@@ -77,7 +90,7 @@ def text_statistics(c: Column) -> dict[str, Column]:
     parts = words(text)
     count = F.size(parts)
     chars = F.length(text)
-    letters = F.length(F.regexp_replace(text, SPACES, ""))
+    letters = F.length(F.regexp_replace(plain_spaces(text), r"\s+", ""))
     common = F.size(F.filter(parts, lambda w: F.lower(w).isin(*COMMON_WORDS)))
     emoticons = sum((count_literal(text, e) for e in EMOTICONS[1:]), count_literal(text, EMOTICONS[0]))
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.text import PROSE_WORD, bind, clean_text, count_marks, text_statistics, words
+from tabweave.functions.text import PROSE_WORD, bind, clean_text, count_marks, plain_spaces, text_statistics, words
 from tabweave.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS
 from tabweave.operators.numeric import product, ratio
 from tabweave.plans.roles import Roles, col, string_columns
@@ -21,7 +21,7 @@ def prose_shares(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Share of the longer values that hold a word between spaces, per column, in one scan."""
     aggs = []
     for i, c in enumerate(columns):
-        hit = F.concat(F.lit(" "), col(c), F.lit(" ")).rlike(PROSE_WORD).cast("double")
+        hit = F.concat(F.lit(" "), plain_spaces(col(c)), F.lit(" ")).rlike(PROSE_WORD).cast("double")
         aggs.append(F.avg(F.when(F.length(col(c)) > LONGER_THAN, hit)).alias(f"s{i}"))
     row = df.agg(*aggs).first()
     return {c: row[f"s{i}"] for i, c in enumerate(columns)}

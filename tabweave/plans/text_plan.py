@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabweave.operators import text_features, topics, vectorize
 from tabweave.functions.wordlists import ENGLISH_STOP_WORDS
 from tabweave.plans.roles import Roles, col
-from tabweave.session import materialize
+from tabweave.session import materialize, spread
 
 MAX_FEATURES = 10_000
 
@@ -128,7 +128,7 @@ def fit_text_plan(
     if stop_words is None:
         stop_words = ENGLISH_STOP_WORDS if language == "english" else ()
     plan = TextPlan(list(columns), method, max_features, source)
-    df = materialize(plan._statistics(df), "text-statistics")
+    df = materialize(plan._statistics(spread(df)), "text-statistics")
     for c in plan.columns:
         spec = vectorize.fit_vocabulary(df, col(f"{c}_cleaned"), max_features, method, stop_words)
         if spec["terms"]:
