@@ -7,6 +7,8 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorSizeHint
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ class AutoTable:
             self.max_interaction_columns,
             late,
         )
-        return plan, text_plan, plan.vectorize(_dense(data, vectors), vectors)
+        return plan, text_plan, plan.vectorize(_dense(data, text_plan), vectors)
 
     def fit(self, train: DataFrame) -> FittedTable:
         plan, text_plan, data = self.prepare(train)
@@ -110,12 +112,13 @@ class AutoTable:
         return fitted
 
 
-def _dense(df: DataFrame, vectors: tuple[str, ...]) -> DataFrame:
-    """Array columns, such as SVD projections, as vectors."""
-    from pyspark.ml.functions import array_to_vector
-
-    arrays = [c for c in vectors if df.schema[c].dataType.typeName() == "array"]
-    return df.select(*[array_to_vector(col(c)).alias(c) if c in arrays else col(c) for c in df.columns])
+def _dense(df: DataFrame, text_plan: TextPlan | None) -> DataFrame:
+    """SVD arrays as vectors of known size, which the assembler needs on streams."""
+    arrays = {f"{c}_svd": basis.shape[1] for c, basis in text_plan.bases.items()} if text_plan else {}
+    df = df.select(*[array_to_vector(col(c)).alias(c) if c in arrays else col(c) for c in df.columns])
+    for name, size in arrays.items():
+        df = VectorSizeHint(inputCol=name, size=size, handleInvalid="optimistic").transform(df)
+    return df
 
 
 @dataclass
@@ -137,7 +140,7 @@ class FittedTable:
         if self.text_plan:
             df = self.text_plan.transform(df)
         vectors = tuple(self.text_plan.vectors) if self.text_plan else ()
-        return self.plan.vectorize(_dense(self.plan.transform(df), vectors), vectors)
+        return self.plan.vectorize(_dense(self.plan.transform(df), self.text_plan), vectors)
 
     def _scored(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.features(df))

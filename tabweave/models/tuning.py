@@ -76,7 +76,7 @@ def search(
 
     Each candidate is a one-stage pipeline, so estimators of any class share one search.
     """
-    holder = Pipeline()
+    holder = Pipeline(stages=[])
     maps = [{holder.stages: [build(algorithm, p, shape, seed)]} for p in points]
     found = CrossValidator(
         estimator=holder,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCAModel
+from pyspark.ml.feature import PCAModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +78,6 @@ class FeaturePlan:
 
     def vectorize(self, df: DataFrame, vectors: tuple[str, ...] = (), output: str = "features") -> DataFrame:
         """Add the model matrix: the plan's features and any vector columns, as one vector."""
-        from pyspark.ml.feature import VectorAssembler
-
         names = [f"__f{i}" for i in range(len(self.features))]
         wide = df.select("*", *[col(c).cast("double").alias(n) for c, n in zip(self.features, names)])
         made = VectorAssembler(inputCols=[*names, *vectors], outputCol=output, handleInvalid="keep").transform(wide)
