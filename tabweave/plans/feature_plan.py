@@ -14,7 +14,7 @@ from tabweave.operators import categorical, dates, missing, numeric, pca, prune,
 from tabweave.operators.lookup import Lookup
 from tabweave.operators.profile import profile
 from tabweave.plans.roles import Roles, col, is_string, normalize, numeric_columns, string_columns
-from tabweave.session import materialize
+from tabweave.session import materialize, widened
 
 
 @dataclass
@@ -163,7 +163,7 @@ def fit_plan(
         raise ValueError(f"target column '{roles.target}' not found; available columns: {df.columns}")
     plan = FeaturePlan(roles, task)
     steps = plan.steps
-    df = normalize(df, roles)
+    df = widened(normalize(df, roles), "training-rows")
     if roles.target is not None:
         df = df.where(col(roles.target).isNotNull())
         if task == "classification":

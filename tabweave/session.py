@@ -42,3 +42,9 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def widened(df: DataFrame, name: str) -> DataFrame:
+    """A table in fewer pieces than there are cores, rewritten once so that many passes use them all."""
+    pieces = spread(df)
+    return df if pieces is df else materialize(pieces, name)
