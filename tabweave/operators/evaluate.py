@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.plans.roles import col
@@ -25,17 +25,20 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy, macro and weighted means.
 
-    Everything after the confusion counts works on at most classes x classes rows.
+    The rows are read once, for the confusion counts; the rest is a chain over at most
+    classes x classes rows.
     """
-    counts = confusion(df, label, prediction)
-    as_label = counts.select(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).alias("predicted"))
-    as_guess = counts.select(F.col("prediction").alias("class"), F.lit(0).alias("support"), F.col("n").alias("predicted"))
-    hits = counts.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("class"), F.col("n").alias("hit"))
-    sides = as_label.withColumn("hit", F.lit(0)).unionByName(as_guess.withColumn("hit", F.lit(0)))
-    sides = sides.unionByName(hits.select("class", F.lit(0).alias("support"), F.lit(0).alias("predicted"), "hit"))
-    classes = sides.groupBy("class").agg(
-        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit")
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
+    sides = confusion(df, label, prediction).select(
+        F.inline(
+            F.array(
+                F.struct(F.col("label").alias("class"), n.alias("support"), none.alias("predicted"), hit.alias("hit")),
+                F.struct(F.col("prediction").alias("class"), none.alias("support"), n.alias("predicted"), none.alias("hit")),
+            )
+        )
     )
+    classes = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hit")])
     scored = classes.select(
         F.col("class").cast("string").alias("class"),
         _ratio(F.col("hit"), F.col("predicted")).alias("precision"),
@@ -46,24 +49,22 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     )
     measures = ["precision", "recall", "f1"]
     means = scored.agg(
+        F.collect_list(F.struct("class", *measures, "support")).alias("rows"),
         F.sum("support").alias("support"),
         F.sum("hit").alias("hit"),
         *[F.avg(m).alias(f"macro_{m}") for m in measures],
         *[_ratio(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(f"weighted_{m}") for m in measures],
     )
-    share = _ratio(F.col("hit"), F.col("support"))
-    summary = means.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("accuracy").alias("class"), *[share.alias(m) for m in measures], F.col("support")),
-                F.struct(F.lit("macro avg").alias("class"), *[F.col(f"macro_{m}").alias(m) for m in measures], F.col("support")),
-                F.struct(
-                    F.lit("weighted avg").alias("class"), *[F.col(f"weighted_{m}").alias(m) for m in measures], F.col("support")
-                ),
-            )
-        )
+
+    def line(name: str, values: list) -> Column:
+        return F.struct(F.lit(name).alias("class"), *[v.alias(m) for v, m in zip(values, measures)], F.col("support"))
+
+    summary = F.array(
+        line("accuracy", [_ratio(F.col("hit"), F.col("support"))] * 3),
+        line("macro avg", [F.col(f"macro_{m}") for m in measures]),
+        line("weighted avg", [F.col(f"weighted_{m}") for m in measures]),
     )
-    return scored.drop("hit").unionByName(summary)
+    return means.select(F.inline(F.concat("rows", summary)))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -2,53 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.plans.roles import col, is_numeric
+from tabweave.plans.roles import col
+from tabweave.session import materialize
+
+ROWS_PER_RANGE = 1_000_000
 
-RANK_BUCKETS = 256
-ACCURACY = 10_000
 
+def _in_ranges(df: DataFrame, order: str, ranges: int | None) -> DataFrame:
+    """The rows with ``__range``, a number that grows with the order column, as a stored table.
 
-def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
-    """Add ``__bucket``, growing with the order column, from sketched cut points."""
-    if not is_numeric(df.schema[order].dataType):
-        raise TypeError(f"row order needs a numeric id, '{order}' is {df.schema[order].dataType.simpleString()}")
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(col(order).cast("double"), F.lit(shares), ACCURACY)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return df.select("*", F.lit(0).alias("__bucket"))
-    cast = df.select("*", col(order).cast("double").alias("__order"))
-    out = Bucketizer(splits=splits, inputCol="__order", outputCol="__cut").transform(cast)
-    return out.select(*[col(c) for c in df.columns], F.col("__cut").cast("int").alias("__bucket"))
+    Spark samples the limits of the ranges, so they may differ when a plan is run again; the table
+    fixes them for the counts and the numbering that follow.
+    """
+    if ranges is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        ranges = max(cores, math.ceil(df.count() / ROWS_PER_RANGE))
+    parts = df.repartitionByRange(ranges, col(order)).select("*", F.spark_partition_id().alias("__range"))
+    return materialize(parts, "row-ranges")
 
 
-def numbered(df: DataFrame, order: str, by: str | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, order: str, by: str | None = None, ranges: int | None = None) -> DataFrame:
     """Add ``__row``, the 1-based row number by a unique id, within each value of ``by``, and ``__rows``.
 
-    Ids are cut in ranges; rows are numbered inside a range and shifted by the rows of the ranges
-    before it, so even one label on every row is spread over the ranges.
+    Ids are cut in ranges of about a million rows; rows are numbered inside a range and shifted
+    by the rows of the ranges before it, so even one label on every row is spread over the ranges.
     """
     label = F.lit(0) if by is None else col(by)
-    data = _bucketed(df, order, buckets).withColumn("__label", label)
+    data = _in_ranges(df, order, ranges).withColumn("__label", label)
     # few rows: one per label and range
-    counts = data.groupBy("__label", "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__label").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = data.groupBy("__label", "__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__label").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("__label")
     offsets = counts.select(
         F.col("__label").alias("__l"),
-        F.col("__bucket").alias("__b"),
+        F.col("__range").alias("__r"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__skip"),
         F.sum("n").over(whole).alias("__rows"),
     )
-    inside = Window.partitionBy("__label", "__bucket").orderBy(col(order))
+    inside = Window.partitionBy("__label", "__range").orderBy(col(order))
     local = data.select("*", F.row_number().over(inside).alias("__local"))
-    joined = local.join(
-        offsets, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__bucket") == F.col("__b"))
-    )
+    joined = local.join(offsets, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__range") == F.col("__r")))
     return joined.select(
         *[col(c) for c in df.columns], (F.col("__local") + F.col("__skip")).alias("__row"), "__rows"
     )

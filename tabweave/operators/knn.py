@@ -26,6 +26,7 @@ ROWS_PER_CELL = 4_096
 MAX_CELLS = 256
 CHUNK_CELLS = 4_000_000
 SLACK = 1e-9
+SCREEN_ERROR = 1e-12
 
 
 def distances(left: np.ndarray, right: np.ndarray, p: int) -> np.ndarray:
@@ -82,26 +83,49 @@ def _candidate_cells(pivots: np.ndarray, near: np.ndarray, inner: np.ndarray, ou
     return cells
 
 
+def _nearest(left: np.ndarray, right: np.ndarray, take: int, p: int):
+    """Rows, columns and distances of the ``take`` nearest ``right`` rows of each ``left`` row.
+
+    For p = 2 one matrix product screens the pairs: its rounding error is bounded, so every true
+    neighbour passes, and only what passes is measured exactly. Ties go to the smaller column.
+    """
+    if p == 1:
+        rough, slack = distances(left, right, 1), 0.0
+    else:
+        norms = (left * left).sum(axis=1)[:, None], (right * right).sum(axis=1)[None, :]
+        rough = norms[0] + norms[1] - 2 * left @ right.T
+        slack = 2 * SCREEN_ERROR * (norms[0] + norms[1].max())
+    limit = np.partition(rough, take - 1, axis=1)[:, take - 1 : take] + slack
+    rows, columns = np.nonzero(rough <= limit)
+    if p == 1:
+        exact = rough[rows, columns]
+    else:
+        gap = left[rows] - right[columns]
+        exact = np.sqrt((gap * gap).sum(axis=1))
+    order = np.lexsort((columns, exact, rows))
+    rows, columns, exact = rows[order], columns[order], exact[order]
+    starts = np.searchsorted(rows, np.arange(len(left)))
+    first = np.arange(len(rows)) - starts[rows] < take
+    return rows[first], columns[first], exact[first]
+
+
 def _block_top_k(k: int, p: int):
     def top_k(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(train):
             return pd.DataFrame({"query_id": [], "train_id": [], "label": [], "distance": []})
+        train = train.sort_values("train_id")
         left, right = _matrix(queries["query_vector"]), _matrix(train["train_vector"])
-        order = np.argsort(train["train_id"].to_numpy(), kind="stable")
-        right, ids = right[order], train["train_id"].to_numpy()[order]
-        labels = train["label"].to_numpy()[order]
-        take = min(k, len(ids))
+        asked, ids, labels = (x.to_numpy() for x in (queries["query_id"], train["train_id"], train["label"]))
         parts = []
-        for rows in _chunks(len(left), len(right)):
-            gaps = distances(left[rows], right, p)
-            best = np.argsort(gaps, axis=1, kind="stable")[:, :take]
+        for part in _chunks(len(left), len(right)):
+            rows, columns, gaps = _nearest(left[part], right, min(k, len(ids)), p)
             parts.append(
                 pd.DataFrame(
                     {
-                        "query_id": np.repeat(queries["query_id"].to_numpy()[rows], take),
-                        "train_id": ids[best].ravel(),
-                        "label": labels[best].ravel(),
-                        "distance": np.take_along_axis(gaps, best, axis=1).ravel(),
+                        "query_id": asked[part][rows],
+                        "train_id": ids[columns],
+                        "label": labels[columns],
+                        "distance": gaps,
                     }
                 )
             )

@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.plans.roles import col
@@ -52,19 +53,39 @@ def fit_correlation_prune(df: DataFrame, columns: list[str], limit: float = CORR
 
 
 def anova_scores(df: DataFrame, columns: list[str], target: str) -> dict[str, float]:
-    """ANOVA F of each column over the target's classes, from per-class means and variances."""
+    """ANOVA F of each column over the target's classes, from per-class means and variances.
+
+    One pass makes a summary per class; these are combined per column on the executors, so the
+    driver reads one number per column however many classes there are.
+    """
     data = assemble(df.where(col(target).isNotNull()), columns, [target])
     stats = Summarizer.metrics("mean", "variance", "count")
-    rows = data.groupBy(col(target).alias("y")).agg(stats.summary(F.col("features")).alias("s")).collect()
-    counts = np.array([r["s"]["count"] for r in rows], dtype=float)
-    means = np.array([r["s"]["mean"].toArray() for r in rows])
-    variances = np.array([r["s"]["variance"].toArray() for r in rows])
-    total, classes = counts.sum(), len(rows)
-    overall = (counts[:, None] * means).sum(axis=0) / total
-    between = (counts[:, None] * (means - overall) ** 2).sum(axis=0) / max(classes - 1, 1)
-    within = (np.maximum(counts - 1, 0)[:, None] * variances).sum(axis=0) / max(total - classes, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return dict(zip(columns, (between / within).tolist()))
+    classes = data.groupBy(col(target).alias("y")).agg(stats.summary(F.col("features")).alias("s"))
+    cells = classes.select(
+        F.col("s.count").cast("double").alias("n"),
+        F.posexplode(F.arrays_zip(vector_to_array("s.mean"), vector_to_array("s.variance"))).alias("i", "c"),
+    ).select("n", "i", F.col("c")["0"].alias("m"), F.col("c")["1"].alias("v"))
+    per_column = Window.partitionBy("i")
+    overall = F.sum(F.col("n") * F.col("m")).over(per_column) / F.sum("n").over(per_column)
+    sums = (
+        cells.withColumn("gap", F.col("m") - overall)
+        .groupBy("i")
+        .agg(
+            F.count(F.lit(1)).alias("k"),
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * F.col("gap") * F.col("gap")).alias("between"),
+            F.sum((F.col("n") - 1) * F.col("v")).alias("within"),
+        )
+        .collect()
+    )
+    out = dict.fromkeys(columns, math.nan)
+    for r in sums:
+        between, within = r["between"] / max(r["k"] - 1, 1), r["within"] / max(r["n"] - r["k"], 1)
+        if within > 0:
+            out[columns[r["i"]]] = between / within
+        elif between > 0:
+            out[columns[r["i"]]] = math.inf
+    return out
 
 
 def regression_scores(df: DataFrame, columns: list[str], target: str) -> dict[str, float]:
@@ -73,9 +94,11 @@ def regression_scores(df: DataFrame, columns: list[str], target: str) -> dict[st
     out = {}
     for start in range(0, len(columns), 50):
         part = columns[start : start + 50]
-        row = df.where(y.isNotNull()).agg(
-            F.count(F.lit(1)).alias("n"), *[F.try_divide(F.corr(col(c).cast("double"), y), F.lit(1.0)).alias(f"r{i}") for i, c in enumerate(part)]
-        ).first()
+        row = (
+            df.where(y.isNotNull())
+            .agg(F.count(F.lit(1)).alias("n"), *[F.corr(col(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(part)])
+            .first()
+        )
         for i, c in enumerate(part):
             r = row[f"r{i}"]
             if r is None or math.isnan(r):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -29,20 +29,20 @@ def _loss_and_gradient(rows: DataFrame, weights: np.ndarray, epsilon: float, smo
 
     def partial(batches):
         total, grad = 0.0, np.zeros(len(w) + 1)
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.vstack(pdf["x"].to_numpy())
-            residual = x @ w + b - pdf["y"].to_numpy()
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(w))
+            residual = x @ w + b - batch.column("y").to_numpy()
             over = np.abs(residual) - epsilon
             curved = (over > 0) & (over < smooth)
             total += np.where(curved, over**2 / (2 * smooth), np.where(over > 0, over - smooth / 2, 0.0)).sum()
             slope = np.sign(residual) * np.clip(over / smooth, 0.0, 1.0)
             grad[:-1] += slope @ x
             grad[-1] += slope.sum()
-        yield pd.DataFrame({"i": np.arange(len(w) + 2), "v": [*grad, total]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + 2, dtype="int32")), pa.array([*grad, total])], ["i", "v"])
 
-    summed = rows.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    summed = rows.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(len(w) + 2)
     for row in summed:
         out[row["i"]] = row["v"]

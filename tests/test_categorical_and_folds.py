@@ -72,11 +72,11 @@ def test_dates_from_strings_and_timestamps(spark):
     assert first["at_dayofweek"] == 6 and second["start_date_year"] is None and "start_date" not in first.asDict()
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 64])
-def test_folds_equal_window_definitions_under_one_hot_label(spark, buckets):
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_folds_equal_window_definitions_under_one_hot_label(spark, ranges):
     df = spark.range(1000).selectExpr("id * 37 % 1009 as id", "if(id % 3 < 2, 'hot', 'cold') as y")
     rows = df.toPandas().sort_values("id")
-    got = {r["id"]: r for r in folds.numbered(df, "id", "y", buckets).collect()}
+    got = {r["id"]: r for r in folds.numbered(df, "id", "y", ranges).collect()}
     want = rows.groupby("y").cumcount() + 1
     assert all(got[i]["__row"] == n for i, n in zip(rows["id"], want))
     plain = {r["id"]: r["fold"] for r in folds.add_folds(df, "id", 7).collect()}
