@@ -119,17 +119,28 @@ def _zipped(columns: list[Column], names: list[str], length: Column) -> Column:
 
 
 def _joined_windows(terms: Column, n: int) -> Column:
-    """Each run of ``n`` neighbouring terms, joined by a space."""
+    """Each run of ``n`` neighbouring terms, joined by a space; null where one of them is."""
     names = [f"t{k}" for k in range(n)]
     shifted = [F.slice(terms, k + 1, F.greatest(F.size(terms) - k, F.lit(0))) for k in range(n)]
     rows = _zipped(shifted, names, F.size(terms) - n + 1)
-    return F.transform(rows, lambda r: F.concat_ws(" ", *[r[name] for name in names]))
+
+    def joined(r: Column) -> Column:
+        parts = [r[names[0]]]
+        for name in names[1:]:
+            parts += [F.lit(" "), r[name]]
+        return F.concat(*parts)
+
+    return F.transform(rows, joined)
 
 
 def ngrams(terms: Column, sizes: tuple[int, int]) -> Column:
-    """All n-grams of a token array, for n from ``sizes[0]`` to ``sizes[1]``."""
+    """All n-grams of a token array, for n from ``sizes[0]`` to ``sizes[1]``.
+
+    A null in the array stands for a token that no n-gram may hold.
+    """
     span = range(sizes[0], sizes[1] + 1)
-    return bind(terms, lambda t: F.concat(*[t if n == 1 else _joined_windows(t, n) for n in span]))
+    whole = bind(terms, lambda t: F.concat(*[t if n == 1 else _joined_windows(t, n) for n in span]))
+    return F.array_compact(whole)
 
 
 def term_counts(terms: Column) -> Column:

@@ -17,14 +17,18 @@ from tabweave.plans.roles import col
 MIN_DOCUMENTS = 2
 MAX_DOCUMENT_SHARE = 0.95
 SIZES = (1, 3)
+SCREEN_WORDS = 20_000
+
+
+def kept_tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
+    """Tokens of a text without its stop words."""
+    found = tokens(text)
+    return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
 def terms_of(text: Column, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS, sizes: tuple[int, int] = SIZES) -> Column:
     """N-grams of a text after its stop words are gone."""
-    kept = tokens(text)
-    if stop_words:
-        kept = F.filter(kept, lambda w: ~w.isin(*stop_words))
-    return ngrams(kept, sizes)
+    return ngrams(kept_tokens(text, stop_words), sizes)
 
 
 def term_statistics(df: DataFrame, terms: Column) -> DataFrame:
@@ -36,6 +40,24 @@ def term_statistics(df: DataFrame, terms: Column) -> DataFrame:
     )
 
 
+def _ranked(statistics: DataFrame, limit: int) -> list:
+    return statistics.orderBy(F.col("corpus_count").desc(), "term").limit(limit).collect()
+
+
+def screening_words(rows: list, max_features: int, most_documents: float, complete: bool) -> list[str] | None:
+    """Words that a term of the vocabulary may hold, from words ranked by count.
+
+    An n-gram is never more frequent than its words. Once ``max_features`` single words qualify,
+    nothing below the last one's count can enter, so neither can an n-gram that holds a rarer
+    word. ``None`` when the ranked words do not reach down to that count.
+    """
+    fit = [r for r in rows if MIN_DOCUMENTS <= r["documents"] <= most_documents]
+    floor = fit[max_features - 1]["corpus_count"] if len(fit) >= max_features else MIN_DOCUMENTS
+    if not complete and rows[-1]["corpus_count"] >= floor:
+        return None
+    return [r["term"] for r in rows if r["corpus_count"] >= floor]
+
+
 def fit_vocabulary(
     df: DataFrame,
     text: Column,
@@ -43,21 +65,28 @@ def fit_vocabulary(
     method: str = "tfidf",
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS,
     sizes: tuple[int, int] = SIZES,
+    screen: int = SCREEN_WORDS,
 ) -> dict:
     """Terms in at least 2 and at most 95 % of the documents, the ``max_features`` most used.
 
-    Ties at the cap go to the smaller term. Only the chosen terms reach the driver.
+    Ties at the cap go to the smaller term. Single words are counted first: n-grams with a word
+    too rare for the cap are then never made, which keeps the n-gram shuffle near the size of the
+    vocabulary. Only ranked words and the chosen terms reach the driver.
     """
     if method not in ("tfidf", "count"):
         raise ValueError(f"unknown method '{method}'")
     total = df.count()
-    chosen = (
-        term_statistics(df, terms_of(text, stop_words, sizes))
-        .where((F.col("documents") >= MIN_DOCUMENTS) & (F.col("documents") <= MAX_DOCUMENT_SHARE * total))
-        .orderBy(F.col("corpus_count").desc(), "term")
-        .limit(max_features)
-        .collect()
-    )
+    most = MAX_DOCUMENT_SHARE * total
+    tokenized = df.select(kept_tokens(text, stop_words).alias("tokens"))
+    terms = F.col("tokens")
+    if sizes[0] == 1 and sizes[1] > 1:
+        rows = _ranked(term_statistics(tokenized, terms), screen + 1)
+        words = screening_words(rows[:screen], max_features, most, len(rows) <= screen) if rows else []
+        if words is not None:
+            listed = ", ".join(f"'{w}'" for w in words) or "''"
+            terms = F.expr(f"transform(tokens, w -> CASE WHEN w IN ({listed}) THEN w END)")
+    counted = term_statistics(tokenized, ngrams(terms, sizes))
+    chosen = _ranked(counted.where(F.col("documents").between(MIN_DOCUMENTS, most)), max_features)
     chosen.sort(key=lambda r: r["term"])
     return {
         "op": "vectorize",

@@ -112,10 +112,11 @@ def python_vectors(docs, cap, stop):
     return chosen, out
 
 
-@pytest.mark.parametrize("cap", [3, 100])
-def test_tfidf_equals_python(spark, cap):
+@pytest.mark.parametrize("cap", [1, 3, 100])
+@pytest.mark.parametrize("screen", [1, 4, 20_000])
+def test_tfidf_equals_python(spark, cap, screen):
     df = spark.createDataFrame(list(enumerate(DOCS)), "i int, t string")
-    spec = vectorize.fit_vocabulary(df, F.col("t"), cap)
+    spec = vectorize.fit_vocabulary(df, F.col("t"), cap, screen=screen)
     chosen, want = python_vectors(DOCS, cap, set(spec["stop_words"]))
     assert spec["terms"] == chosen
     got = {(r["i"], r["term"]): r["weight"] for r in vectorize.long_terms(df, "i", F.col("t"), spec).collect()}
