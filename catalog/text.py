@@ -92,6 +92,11 @@ def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_features.add_cleaned(documents(spark, sf_dir), ["text"])
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned once and read twice: for the vocabulary and for the vectors."""
+    return materialize(cleaned_documents(spark, sf_dir).select("doc_id", "text_cleaned"), "cleaned")
+
+
 CLEAN = f"c AS (SELECT doc_id, text, {sql_clean('text')} AS t FROM documents)"
 WORDS = f"w AS (SELECT doc_id, text, t, {sql_words('t')} AS w FROM c)"
 
@@ -223,13 +228,13 @@ def _vocabulary(df: DataFrame, method: str, size: int = VOCABULARY) -> dict:
 
 @register(f"WITH {CLEAN}, {TERMS}, {CHOSEN} SELECT doc_id, term, {sql_round('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM h")
 def tfidf_long(spark, sf_dir):
-    df = cleaned_documents(spark, sf_dir)
+    df = stored_documents(spark, sf_dir)
     return round_columns(vectorize.long_terms(df, "doc_id", col("text_cleaned"), _vocabulary(df, "tfidf")), 6)
 
 
 @register(f"WITH {CLEAN}, {TERMS}, {CHOSEN} SELECT doc_id, term, tf::DOUBLE AS weight FROM h")
 def count_long(spark, sf_dir):
-    df = cleaned_documents(spark, sf_dir)
+    df = stored_documents(spark, sf_dir)
     return vectorize.long_terms(df, "doc_id", col("text_cleaned"), _vocabulary(df, "count"))
 
 
@@ -240,7 +245,7 @@ def count_long(spark, sf_dir):
     f"SELECT turn_id, term, {sql_round('w / sqrt(sum(w * w) OVER (PARTITION BY turn_id))', 6)} AS weight FROM h2"
 )
 def vectorizer_replay(spark, sf_dir):
-    spec = _vocabulary(cleaned_documents(spark, sf_dir), "tfidf")
+    spec = _vocabulary(stored_documents(spark, sf_dir), "tfidf")
     df = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
     df = text_features.add_cleaned(df, ["text"])
     return round_columns(vectorize.long_terms(df, "turn_id", col("text_cleaned"), spec), 6)
@@ -250,7 +255,7 @@ def vectorizer_replay(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir, size: int = VOCABULARY) -> tuple[DataFrame, int]:
-    df = cleaned_documents(spark, sf_dir)
+    df = stored_documents(spark, sf_dir)
     spec = _vocabulary(df, "tfidf", size)
     made = vectorize.add_vectors(df, col("text_cleaned"), spec, "v").select("doc_id", "v")
     return materialize(made, "query-vectors"), len(spec["terms"])

@@ -19,7 +19,7 @@ MAIL = r"(?<!\S)\S[^\s@]*+@\S+"
 MENTION_OR_TAG = r"(?U)[@#]\w+"
 KEPT_MARKS = ".,!?-:"
 KEPT_SPACES = " \t\n\x0b\f\r"
-OTHER_LETTERS = r"[^\x00-\x7fа-яА-Я]"
+OTHER_LETTERS = r"[^\x00-\x7fа-яА-Я]+"
 
 BLANKED_MARKS = "".join(
     chr(i) for i in range(1, 128) if not chr(i).isalnum() and chr(i) not in KEPT_MARKS + KEPT_SPACES
