@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.quantiles import quantiles
-from tabweave.functions.text import bind
 from tabweave.operators.profile import ColumnProfile, profile
 from tabweave.plans.roles import Roles, col, numeric_columns
 
@@ -98,29 +100,21 @@ def root(c: str) -> Column:
     return F.sqrt(F.abs(col(c).cast("double"))).alias(f"{c}_sqrt")
 
 
-def row_statistics(columns: list[str]) -> list[Column]:
-    """Mean, sample deviation and sum over the row's non-null numbers, without a UDF."""
-    values = F.filter(F.array(*[col(c).cast("double") for c in columns]), lambda v: v.isNotNull())
-
-    def total(items: Column) -> Column:
-        return F.aggregate(items, F.lit(0.0), lambda acc, v: acc + v)
-
-    def spread(items: Column, mean: Column) -> Column:
-        return F.aggregate(items, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-
-    def mean_of(items: Column) -> Column:
-        return F.when(F.size(items) > 0, total(items) / F.size(items))
+def add_row_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add mean, sample deviation and sum over the row's non-null numbers.
 
-    def std_of(items: Column) -> Column:
-        return bind(
-            mean_of(items), lambda m: F.when(F.size(items) > 1, F.sqrt(spread(items, m) / (F.size(items) - 1)))
-        )
-
-    return [
-        bind(values, mean_of).alias("row_mean"),
-        bind(values, std_of).alias("row_std"),
-        total(values).alias("row_sum"),
-    ]
+    Plain arithmetic in three projections, so that it compiles and the mean is computed once.
+    """
+    values = [col(c).cast("double") for c in columns]
+    total = reduce(add, [F.coalesce(v, F.lit(0.0)) for v in values])
+    count = reduce(add, [v.isNotNull().cast("int") for v in values])
+    kept = [col(c) for c in df.columns]
+    summed = df.select(*kept, total.alias("row_sum"), count.alias("__n"))
+    mean = F.when(F.col("__n") > 0, F.col("row_sum") / F.col("__n"))
+    centred = summed.select(*kept, "row_sum", "__n", mean.alias("row_mean"))
+    gaps = [F.coalesce((v - F.col("row_mean")) * (v - F.col("row_mean")), F.lit(0.0)) for v in values]
+    std = F.when(F.col("__n") > 1, F.sqrt(reduce(add, gaps) / (F.col("__n") - 1)))
+    return centred.select(*kept, "row_mean", std.alias("row_std"), "row_sum")
 
 
 def fit_numeric(
@@ -164,5 +158,5 @@ def apply_numeric(df: DataFrame, spec: dict) -> DataFrame:
             out.append(log_column(c))
         out += [square(c), root(c)]
     if spec["row_statistics"]:
-        out += row_statistics(spec["row_statistics"])
+        df = add_row_statistics(df, spec["row_statistics"])
     return df.select("*", *out)
