@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import decontaminate, mixing, token_files, warc
+from tabweave.llm import decontaminate, mixing, near_duplicates, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -79,6 +79,30 @@ from f
 """
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP5_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, k, k + 4), ' ') s
+  from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) k from words where len(w) > 0)),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+links as (
+  select a.doc_id x, b.doc_id y from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+  join sizes p on p.doc_id = a.doc_id join sizes q on q.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+least as (select x doc_id, min(y) y from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, least(doc_id, coalesce(y, doc_id)) component_id, doc_id <= coalesce(y, doc_id) kept
+from words left join sizes using (doc_id) left join least using (doc_id)
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write_token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return token_files.token_digests(spark, written).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -88,6 +112,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_near_duplicates": op5_near_duplicates,
     "op10_token_files": op10_token_files,
 }
-ORACLES = {"op1_decontamination": OP1_SQL, "op4_warc": OP4_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op4_warc": OP4_SQL, "op5_near_duplicates": OP5_SQL}
