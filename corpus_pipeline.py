@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweave.llm import decontaminate, mixing, token_files
+from tabweave.llm import decontaminate, mixing, near_duplicates, token_files
 from tabweave.llm.queries import tokenizer_path
 from tabweave.session import scratch_path
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return near_duplicates.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
@@ -26,6 +31,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing_to_weights),
     ("token_output", token_output),
