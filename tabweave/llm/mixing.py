@@ -174,8 +174,8 @@ def mix(
     stretch = Window.partitionBy("source_key").orderBy("shard")
     slots = leaves.withColumn("to", F.sum("n").over(stretch)).withColumn("slot", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)))
     copies = taken.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    number = (F.col("copy") - 1) * (F.col("last") + 1) + F.col("at")
-    copies = copies.join(quotas, "source_key").withColumn("slot", (number * F.lit(_PRIME) + F.pmod("source_key", F.lit(1 << 30))) % F.col("n"))
+    number = (F.col("copy") - 1).cast("long") * (F.col("last") + 1) + F.col("at")
+    copies = copies.join(quotas, "source_key").withColumn("slot", (number * F.lit(_PRIME).cast("long") + F.pmod("source_key", F.lit(1 << 30))) % F.col("n"))
     placed = copies.select("source_key", "block", "copy", "slot", ((F.col("copy") > F.col("rounds")) & (F.col("room") < F.col("words"))).alias("is_cut"))
     placed = materialize(placed.join(slots.select("source_key", "slot", "shard"), ["source_key", "slot"]), "mix-placed")
     return _assembled(sized, sources, keyed, partial, placed, seed)
