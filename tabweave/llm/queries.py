@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import decontaminate, mixing, near_duplicates, token_files, warc
+from tabweave.llm import decontaminate, mixing, near_duplicates, quality, token_files, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -103,6 +103,12 @@ from words left join sizes using (doc_id) left join least using (doc_id)
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select("row.doc_id", *names, "class_distance", "word_distance")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write_token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return token_files.token_digests(spark, written).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -113,6 +119,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_quality_rules": op8_quality_rules,
     "op10_token_files": op10_token_files,
 }
 ORACLES = {"op1_decontamination": OP1_SQL, "op4_warc": OP4_SQL, "op5_near_duplicates": OP5_SQL}
