@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweave.llm import decontaminate, mixing, near_duplicates, token_files
+from tabweave.llm import decontaminate, mixing, near_duplicates, quality, token_files
 from tabweave.llm.queries import tokenizer_path
 from tabweave.session import scratch_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.good_documents(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return near_duplicates.one_of_each(docs)
@@ -31,6 +36,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing_to_weights),
