@@ -49,6 +49,9 @@ LABELLED = (
         ("hospital.test", "/departments"), ("school.test", "/timetable"), ("blog.garden.test", "/roses"), ("recipes.test", "/soup/lentil"),
         ("travel.test", "/trains/map"), ("forum.test", "/thread/88"), ("code.test", "/project/readme"), ("music.test", "/concerts"),
         ("www.thhere.example.net", "/en/41"), ("blog.erand.example.org", "/de/17.html"), ("m.onthe.example.com", "/fr/5/"), ("tinand.example.net", "/es/60"),
+        ("blog.harbour.example.org", "/en/80"), ("m.village.example.net", "/en/32"), ("www.river.example.com", "/fr/13"), ("blog.mountain.example.com", "/es/25"),
+        ("garden.example.org", "/de/7.html"), ("www.threadstone.example.net", "/en/90/"), ("m.heath.example.org", "/en/47"), ("blog.ensemble.example.net", "/fr/66"),
+        ("winter.example.com", "/en/12"), ("clubhouse.example.net", "/en/3"), ("betterment.example.org", "/de/51"), ("blog.lending-library.example.com", "/en/18"),
         ("sport.test", "/results/league"), ("science.test", "/physics/waves"), ("law.test", "/statutes/12"), ("history.test", "/archive/1900"),
         ("market.test", "/prices/wheat"), ("city.test", "/services/water"), ("theatre.test", "/plays"), ("maps.test", "/region/north"),
         ("", ""), ("art.test", "/painting/5"), ("books.test", "/review/3"), ("health.test", "/advice/sleep"),
