@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import chat, decontaminate, mixing, near_duplicates, quality, token_files, urls, warc
+from tabweave.llm import chat, decontaminate, mixing, near_duplicates, quality, token_files, toxicity, urls, warc
 from tabweave.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -137,6 +137,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    labelled = docs.filter(~held_out).join(labels, "doc_id").select("text", "label")
+    found = toxicity.score_toxicity(docs, labelled, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -155,6 +164,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_token_files": op10_token_files,
 }
