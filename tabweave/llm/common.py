@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tabweave.session import materialize
+
 BATCH_ROWS = 256
 CHUNK_BYTES = 2 << 20
 
@@ -33,6 +35,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def stored(df: DataFrame, name: str, rows_per_task: int = 100_000) -> DataFrame:
+    """A table in the shared folder, read back in as few tasks as its rows need: many steps over few rows stay cheap."""
+    table = materialize(df, name)
+    return table.coalesce(max(1, -(-table.count() // rows_per_task)))
+
+
 def small_files(df: DataFrame, bytes_per_task: int) -> int:
     """Number of tasks for a stage that makes one file a task, from the size Spark's statistics give the input."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

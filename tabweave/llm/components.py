@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.session import materialize
+from tabweave.llm.common import stored
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -21,16 +21,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rounds end when the edges no longer change; their number grows with the logarithm of the longest chain.
     """
     edges = links.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).filter("high <> low").distinct()
-    edges = materialize(edges, "component-edges")
+    edges = stored(edges, "component-edges")
     seen = _print_of(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy("high").agg(F.min("low").alias("m")).withColumn("m", F.least("m", "high"))
         large = both.filter(F.col("low") > F.col("high")).join(least, "high").select(F.col("low").alias("high"), F.col("m").alias("low")).distinct()
-        large = materialize(large, "component-large")
+        large = stored(large, "component-large")
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(least, "high").filter(F.col("low") > F.col("m")).select(F.col("low").alias("high"), F.col("m").alias("low"))
-        edges = materialize(small.unionByName(least.withColumnRenamed("m", "low")).distinct(), "component-edges")
+        edges = stored(small.unionByName(least.withColumnRenamed("m", "low")).distinct(), "component-edges")
         now = _print_of(edges)
         if now == seen:
             break

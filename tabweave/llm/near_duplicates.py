@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import SPACED, binary_parts, mix64, small_batches, word_hashes
+from tabweave.llm.common import SPACED, binary_parts, mix64, small_batches, stored, word_hashes
 from tabweave.llm.components import components
 from tabweave.session import materialize
 
@@ -39,6 +39,7 @@ HEADS = 8
 HUBS = 16
 SORTED_ROWS = 100_000
 BROADCAST_NODES = 400_000
+SETS_PER_TASK = 5_000
 
 _mult = mix64(np.arange(1, HASHES + 1, dtype=np.uint64))
 _A, _B = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _mult.astype(np.uint32)
@@ -177,10 +178,12 @@ def _forest(nodes: DataFrame, depth: int, rows: int) -> DataFrame:
     turned = [F.concat(F.expr(f"substring(signature, {t * STRIDE + 1}, {HASHES})"), F.expr(f"substring(signature, 1, {t * STRIDE})")) for t in range(TREES)]
     orders = F.array(*[F.struct(F.lit(t).alias("tree"), k.alias("key")) for t, k in enumerate(turned)])
     rows_in = nodes.select("node", F.explode(orders).alias("o")).select("o.tree", "o.key", "node")
-    dealt = rows_in.repartitionByRange(max(1, -(-rows * TREES // SORTED_ROWS)), "tree", "key").sortWithinPartitions("tree", "key", "node")
+    ranges = max(1, -(-rows * TREES // SORTED_ROWS))
+    dealt = rows_in.repartitionByRange(ranges, "tree", "key") if ranges > 1 else rows_in.coalesce(1)
+    dealt = dealt.sortWithinPartitions("tree", "key", "node")
     found = materialize(dealt.mapInArrow(walk, _FOUND_SQL), "forest")
     # rows near the end of one partition meet those at the head of the next: at most 2 * REACH rows a border
-    across = found.filter(F.col("kind") == EDGE).groupBy("border").applyInArrow(border, _FOUND_SQL)
+    across = found.filter(F.col("kind") == EDGE).coalesce(max(1, ranges // 1000)).groupBy("border").applyInArrow(border, _FOUND_SQL)
     return materialize(found.filter(F.col("kind") != EDGE).unionByName(across), "forest-rows")
 
 
@@ -191,8 +194,9 @@ def _pairs(found: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full shingle sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(wanted.join(nodes, "node").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "near-wanted")
-    few = wanted.count() <= BROADCAST_NODES
+    few = pairs.count() * 2 <= BROADCAST_NODES
+    wanted = nodes.join(F.broadcast(wanted) if few else wanted, "node")
+    wanted = stored(wanted.select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "near-wanted")
     met = docs["text_hash"].eqNullSafe(wanted["r_hash"]) & docs["doc_id"].eqNullSafe(wanted["r_id"])
     texts = docs.join(F.broadcast(wanted) if few else wanted, met).select("node", "text")
 
@@ -203,7 +207,8 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int
             made = pa.record_batch([part.column("node"), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "shingles"])
             yield made.filter(pa.array(right))
 
-    held = materialize(texts.mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"]), "near-sets")
+    made = stored(texts.mapInArrow(sets, "node binary, shingles binary"), "near-sets", SETS_PER_TASK)
+    held = made.dropDuplicates(["node"])
 
     def confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -220,7 +225,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int
 
     one = pairs.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return materialize(two.mapInArrow(confirm, "a binary, b binary"), "near-links")
+    return stored(two.mapInArrow(confirm, "a binary, b binary"), "near-links")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -234,38 +239,40 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): every row with its node, and confirmed links between nodes (a, b).
+def near_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, owner): every row with its node, confirmed links between nodes (a, b), and the component of linked nodes.
 
     ``docs`` has doc_id, text_hash and text (binary).
     """
     rows = materialize(_signed(docs), "near-signatures")
     # equal sets meet here; rows combine map-side, however many copies a text has
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node")
-    nodes = materialize(nodes.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("signature").alias("signature")), "near-nodes")
+    nodes = stored(nodes.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("signature").alias("signature")), "near-nodes")
     n = nodes.count()
     depth = max(2, math.ceil(math.log(max(n, 2), 256)))
     found = _forest(nodes.select("node", "signature"), depth, n)
-    tried = materialize(_pairs(found), "near-pairs")
+    tried = stored(_pairs(found), "near-pairs")
     links = _confirmed(docs, nodes, tried, percent)
-    dense = materialize(found.filter(F.col("kind") == DENSE).select("tree", "prefix", F.col("a").alias("node")).distinct(), "near-dense")
+    owner = components(links)
+    dense = stored(found.filter(F.col("kind") == DENSE).select("tree", "prefix", F.col("a").alias("node")).distinct(), "near-dense")
     while not dense.isEmpty():
-        new = _deeper(docs, nodes, links, dense, tried, depth, percent)
+        new = _deeper(docs, nodes, links, owner, dense, tried, depth, percent)
         if new is None:
             break
         links, tried = links.unionByName(new[0]), tried.unionByName(new[1])
-    return rows, links
+        owner = components(owner.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new[0]))
+    return rows, links, owner
 
 
-def _deeper(docs: DataFrame, nodes: DataFrame, links: DataFrame, dense: DataFrame, tried: DataFrame, depth: int, percent: int) -> tuple | None:
+def _deeper(docs: DataFrame, nodes: DataFrame, links: DataFrame, owner: DataFrame, dense: DataFrame, tried: DataFrame, depth: int, percent: int) -> tuple | None:
     """One more round over the dense regions, with a few nodes for each component: new links and pairs tried, or None."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    known = dense.join(degree, "node", "left").join(components(links), "node", "left")
-    known = materialize(known.select("tree", "prefix", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "dense-known")
+    known = dense.join(degree, "node", "left").join(owner, "node", "left")
+    known = stored(known.select("tree", "prefix", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "dense-known")
     most = Window.partitionBy("component").orderBy(F.desc("degree"), "node")
     heads = known.select("component", "node", "degree").distinct().withColumn("r", F.row_number().over(most)).filter(F.col("r") <= HEADS).drop("r")
-    heads = materialize(heads.join(nodes.select("node", "signature"), "node"), "dense-heads")
+    heads = stored(heads.join(nodes.select("node", "signature"), "node"), "dense-heads")
     regions = known.select("tree", "prefix", "component").distinct().join(heads, "component").drop("component")
     top = Window.partitionBy("tree", "prefix").orderBy(F.desc("degree"), "node")
     hubs = regions.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= HUBS)
@@ -274,7 +281,7 @@ def _deeper(docs: DataFrame, nodes: DataFrame, links: DataFrame, dense: DataFram
     star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("signature").alias("x"), "y")
     again = _pairs(_forest(heads.select("node", "signature"), depth, heads.count()))
     pairs = _agreeing(star).unionByName(again).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "dense-pairs")
+    pairs = stored(pairs, "dense-pairs")
     new = _confirmed(docs, nodes, pairs, percent)
     return None if new.isEmpty() else (new, pairs)
 
@@ -293,8 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     is reachable; its row is kept only then. Other columns are ignored; a table without rows gives none.
     """
     small_batches(docs.sparkSession)
-    rows, links = near_links(_prepared(docs), percent)
-    owner = components(links)
+    rows, _, owner = near_links(_prepared(docs), percent)
     of_node = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     of_node = of_node.join(owner, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = materialize(of_node, "near-components")
