@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import chat, decontaminate, mixing, near_duplicates, quality, token_files, toxicity, urls, warc
+from tabweave.llm import chat, decontaminate, line_dedup, mixing, near_duplicates, quality, token_files, toxicity, urls, warc
 from tabweave.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -152,6 +152,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *names, "class_distance", "word_distance")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write_token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return token_files.token_digests(spark, written).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -166,6 +170,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL, "op5_near_duplicates": OP5_SQL}
