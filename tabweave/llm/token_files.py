@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -35,10 +36,8 @@ DICTIONARY_BYTES = 112_640
 SAMPLE_DOCUMENTS = 1_000
 SAMPLE_CHARS = 8_192
 FILE_BYTES = 16 << 20
-#: Distinct pieces a Python worker remembers, from one task to the next.
-CACHED_PIECES = 700_000
-_remembered: dict[str, dict[str, bytes]] = {}
-LEVEL = 3
+#: Distinct words, and pieces of words, that a Python worker remembers, from one task to the next.
+REMEMBERED = 300_000
 
 # fixed values: below U+0250, the letters, numbers and the rest as the vocabulary's splitting rule divides them
 _PLAIN = re.compile(r"[^\t\n\r -~\xa1-ɏ]")
@@ -46,6 +45,10 @@ _PIECES = re.compile(
     r"'(?:s|t|re|ve|m|ll|d)|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     r"|[^\sa-zA-Z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ\xb2\xb3\xb9\xbc-\xbe]+"
 )
+# fixed values: the letters that stand for the bytes of a text in a byte-level vocabulary
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {chr(b): chr(b) for b in _SHOWN} | {chr(b): chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+_AS_LETTERS = str.maketrans(_BYTE_LETTERS)
 _SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -58,11 +61,33 @@ class TokenFiles:
     dictionary_sha256: str
 
 
+class _Memory:
+    """Results by key. When the new half is full the old half is forgotten; what is still in use moves to the new one."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def make(self, key: str, how: Callable[[str], bytes]) -> bytes:
+        found = self._old.get(key)
+        if found is None:
+            found = how(key)
+        self.new[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self.new) > REMEMBERED:
+            self._old, self.new = self.new, {}
+
+
+_memories: dict[str, tuple[_Memory, _Memory]] = {}
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, as little-endian bytes, with an end id after each text.
 
-    A vocabulary that lower-cases, drops white space and splits by words encodes each piece by itself. For it,
-    texts of plain Latin characters are cut in pieces and each distinct piece is encoded once; others go
+    A vocabulary that lower-cases, drops white space and splits by words encodes each piece of a word by itself. For it,
+    texts of plain Latin characters are cut at white space, and each word is encoded when it is first met; others go
     to the library whole. Other vocabularies always get whole texts. The ids are the same either way.
     """
 
@@ -72,13 +97,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         size = max(self._tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.kind = np.dtype("<u2") if size <= 65_536 else np.dtype("<u4")
         self._end = np.array([end_id], self.kind).tobytes()
-        self._by_pieces = self._independent(rules)
-        self._known = _remembered.setdefault(path, {})
+        self._by_words = self._independent(rules)
+        self._words, self._pieces = _memories.setdefault(path, (_Memory(), _Memory()))
 
     @staticmethod
     def _independent(rules: dict) -> bool:
@@ -93,24 +119,27 @@ class Encoder:
             and all("<|" in t["content"] for t in rules.get("added_tokens", []))
         )
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _ids(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._ids([t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(_AS_LETTERS))])
+
+    def _word(self, word: str) -> bytes:
+        known = self._pieces.new
+        return b"".join([known[p] if p in known else self._pieces.make(p, self._piece) for p in _PIECES.findall(word)])
 
     def __call__(self, text: str) -> bytes:
-        if not self._by_pieces or "<|" in text or _PLAIN.search(text):
-            return self._whole(text) + self._end
-        pieces = _PIECES.findall(text.lower())
-        known = self._known
-        try:
-            return b"".join(map(known.__getitem__, pieces)) + self._end
-        except KeyError:
-            new = [p for p in set(pieces) if p not in known]
-        if len(known) + len(new) > CACHED_PIECES:
-            known.clear()
-            new = list(set(pieces))
-        for piece, got in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(got.ids, self.kind).tobytes()
-        return b"".join(map(known.__getitem__, pieces)) + self._end
+        if not self._by_words or "<|" in text or _PLAIN.search(text):
+            return self._ids(self._tokenizer.encode(text, add_special_tokens=False).ids) + self._end
+        words = text.lower().split()
+        made = list(map(self._words.new.get, words))
+        if None in made:
+            self._words.turn()
+            self._pieces.turn()
+            known = self._words.new
+            made = [m if m is not None else known.get(w) or self._words.make(w, self._word) for w, m in zip(words, made)]
+        return b"".join(made) + self._end
 
 
 def _encoded(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
