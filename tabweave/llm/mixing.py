@@ -219,17 +219,17 @@ def first_words(text: Column, words: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, one row for each time the mix takes one, cut where the target cuts it."""
     made = mix(docs, **options)
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
-    keyed = keyed.withColumns({"__source": F.xxhash64(F.col("source").cast("string"), F.col("source").isNull()), "__size": word_count(F.col("text").cast("string"))})
+    text = F.col("text").cast("string")
+    source = F.col("source").cast("string")
+    keyed = docs.withColumns(
+        {"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text), "__source": F.xxhash64(source, source.isNull()), "__size": word_count(text)}
+    )
     # rows that repeat id, text and source are one key: each of their parts is met by one of them
-    same = ["__id", "__text", "__source"]
-    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy("__id")))
+    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__hash", "__source").orderBy("__size")))
     parts = made.parts.select(
-        F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_text"), F.xxhash64("source", F.col("source").isNull()).alias("p_source"), "copy", "words"
+        F.col("doc_id").alias("__p_id"), F.col("text_hash").alias("__p_hash"), F.xxhash64("source", F.col("source").isNull()).alias("__p_source"), F.col("copy").alias("__copy"), F.col("words").alias("__words")
     )
-    nth = Window.partitionBy("p_id", "p_text", "p_source", "copy").orderBy(F.desc("words"))
-    parts = parts.withColumn("p_nth", F.row_number().over(nth))
-    met = keyed["__id"].eqNullSafe(parts["p_id"]) & (keyed["__text"] == parts["p_text"]) & (keyed["__source"] == parts["p_source"]) & (keyed["__nth"] == parts["p_nth"])
-    rows = keyed.join(parts, met)
-    text = F.when(F.col("words") < F.col("__size"), first_words(F.col("text").cast("string"), F.col("words"))).otherwise(F.col("text").cast("string"))
-    return rows.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = parts.withColumn("__p_nth", F.row_number().over(Window.partitionBy("__p_id", "__p_hash", "__p_source", "__copy").orderBy(F.desc("__words"))))
+    met = F.col("__id").eqNullSafe(F.col("__p_id")) & (F.col("__hash") == F.col("__p_hash")) & (F.col("__source") == F.col("__p_source")) & (F.col("__nth") == F.col("__p_nth"))
+    cut = F.when(F.col("__words") < F.col("__size"), first_words(text, F.col("__words"))).otherwise(text)
+    return keyed.join(parts, met).withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])

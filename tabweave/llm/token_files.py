@@ -36,6 +36,7 @@ DICTIONARY_BYTES = 112_640
 SAMPLE_DOCUMENTS = 1_000
 SAMPLE_CHARS = 8_192
 FILE_BYTES = 16 << 20
+LEVEL = 3
 #: Distinct words, and pieces of words, that a Python worker remembers, from one task to the next.
 REMEMBERED = 300_000
 

@@ -117,7 +117,7 @@ def _cover(found: dict[int, set[str]], least: int) -> list[str]:
 
 
 def _found(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """docs with ``text`` replaced by what the steps need: the candidate terms in it and some counts."""
+    """docs (row, train, hash, text) with ``text`` replaced by what the steps need: the candidate terms in it and some counts."""
     starts = sorted({t.lstrip("=")[:4] for t in terms}) or [""]
     words = F.filter(_words(F.coalesce("text", F.lit(""))), lambda w: F.substring(w, 1, 4).isin(*starts))
     rows = docs.withColumn("words", words)
@@ -125,7 +125,9 @@ def _found(docs: DataFrame, terms: list[str]) -> DataFrame:
     known = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     text = F.coalesce("text", F.lit(""))
     return rows.select(
-        *[c for c in docs.columns if c != "text"],
+        "row",
+        "train",
+        "hash",
         F.array_intersect(_terms(few), known).alias("terms"),
         F.length(text).alias("chars"),
         F.regexp_count(text, F.lit(r"!!+")).alias("shouts"),
@@ -195,27 +197,28 @@ def _weights(weighed: DataFrame, model: LabelModel, voters: int) -> list[float]:
 
 
 def score_toxicity(docs: DataFrame, labelled: DataFrame, may_train: Column | None = None) -> DataFrame:
-    """Every row of ``docs`` (text and others) with ``score``, from 0 to 1, instead of its text; also ``posterior``, of the label model.
+    """Every row of ``docs`` as ``row`` (its columns but text) with ``score``, from 0 to 1; also ``posterior``, of the label model.
 
     ``labelled`` has text and label, the rows from which labels may be learned. ``may_train`` says which rows of docs the
     classifier may see with their posteriors (all by default). A null or empty text has no terms and gets the score of one.
     Without labelled rows of both classes every score is 0.
     """
     terms, lexicon = candidates(labelled)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    train = F.coalesce(F.lit(True) if may_train is None else may_train, F.lit(False)).alias("train")
+    docs = docs.select(row, train, F.xxhash64("text", F.lit(8)).alias("hash"), F.col("text").cast("string").alias("text"))
     if not lexicon:
-        return docs.select(*[c for c in docs.columns if c != "text"], F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"))
-    train = F.lit(True) if may_train is None else may_train
-    voted = materialize(_votes(_found(docs.withColumns({"__train": train, "__hash": F.xxhash64("text", F.lit(8))}), terms), lexicon), "toxic-votes")
+        return docs.select("row", F.lit(0.0).alias("score"), F.lit(0.0).alias("posterior"))
+    voted = materialize(_votes(_found(docs, terms), lexicon), "toxic-votes")
     voters = len(lexicon) + 6
     model = fit_label_model(voted, voters, len(lexicon))
     voted = voted.withColumn("posterior", _posterior(model))
     counts = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="features")
     counts.setBinary(True)
-    sample = voted.filter("__train").select("__hash", "terms", "posterior").orderBy("__hash", "posterior").limit(TRAINING_ROWS)
+    sample = voted.filter("train").select("hash", "terms", "posterior").orderBy("hash", "posterior").limit(TRAINING_ROWS)
     sample = materialize(sample.repartition(8), "toxic-training")
     both = sample.select("terms", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("w")))).alias("x"))
     both = counts.transform(both.select("terms", "x.label", F.col("x.w").alias("w")).filter("w > 0.001"))
     fitted = LogisticRegression(weightCol="w", regParam=2e-5, standardization=False, maxIter=100).fit(both)
     scored = fitted.transform(counts.transform(voted))
-    kept = [c for c in docs.columns if c != "text"]
-    return scored.select(*kept, vector_to_array("probability")[1].alias("score"), "posterior")
+    return scored.select("row", vector_to_array("probability")[1].alias("score"), "posterior")
