@@ -42,9 +42,14 @@ def stored(df: DataFrame, name: str, rows_per_task: int = 100_000) -> DataFrame:
 
 
 def small_files(df: DataFrame, bytes_per_task: int) -> int:
-    """Number of tasks for a stage that makes one file a task, from the size Spark's statistics give the input."""
+    """Number of tasks for a stage that makes one file a task, from the size Spark's statistics give the input.
+
+    Where the statistics know nothing (they then give a size no table has), it is the session's number of shuffle partitions.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(1_000_000, -(-size // bytes_per_task)))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // bytes_per_task))
 
 
 def _power(base: int, n: int) -> np.ndarray:

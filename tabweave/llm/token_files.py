@@ -13,7 +13,9 @@ a file and from file to file; the manifest, one row a file, gives the order and
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -84,6 +86,14 @@ class _Memory:
 _memories: dict[str, tuple[_Memory, _Memory]] = {}
 
 
+@functools.cache
+def _loaded(path: str) -> tuple:
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        return Tokenizer.from_file(path), json.load(f)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, as little-endian bytes, with an end id after each text.
 
@@ -93,14 +103,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        import json
-
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer, rules = _loaded(path)
         self._model = self._tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            rules = json.load(f)
         size = max(self._tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.kind = np.dtype("<u2") if size <= 65_536 else np.dtype("<u4")
         self._end = np.array([end_id], self.kind).tobytes()
