@@ -35,7 +35,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, name: str, rows_per_task: int = 100_000) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_task: int = 1_000_000) -> DataFrame:
     """A table in the shared folder, read back in as few tasks as its rows need: many steps over few rows stay cheap."""
     table = materialize(df, name)
     return table.coalesce(max(1, -(-table.count() // rows_per_task)))

@@ -39,7 +39,7 @@ HEADS = 8
 HUBS = 16
 SORTED_ROWS = 100_000
 BROADCAST_NODES = 400_000
-SETS_PER_TASK = 5_000
+SETS_PER_TASK = 2_000
 
 _mult = mix64(np.arange(1, HASHES + 1, dtype=np.uint64))
 _A, _B = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _mult.astype(np.uint32)
