@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.common import round_columns, sql_round, table
+from catalog.common import round_columns, rounded, sql_round, table
 from tabweave.functions.wordlists import COMMON_WORDS, EMOTICONS, ENGLISH_STOP_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS
 from tabweave.operators import text_features, topics, vectorize
 from tabweave.plans.roles import Roles, col
 from tabweave.plans.text_plan import fit_text_plan
-from tabweave.session import materialize, spread
+from tabweave.session import materialize
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -85,7 +86,7 @@ def sql_statistics(prefix: str, text: str, words: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +271,16 @@ def topic_shares(spark, sf_dir):
     return round_columns(topics.share_columns(made, "shares", count, "text_topic_"), 6)
 
 
+@register("SELECT doc_id, 10::INT AS topics, 1::DOUBLE AS total FROM documents")
+def topic_share_sums(spark, sf_dir):
+    """Every document has a share of each topic, and the shares add up to one."""
+    df, terms = _vectors(spark, sf_dir)
+    model = topics.fit_topics(df, "v", topics.topic_count(terms))
+    made = topics.add_topics(df, "v", model, "shares").select("doc_id", vector_to_array("shares").alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    return made.select("doc_id", F.size("s").alias("topics"), rounded(total, 6).alias("total"))
+
+
 @register(
     f"WITH {CLEAN}, {TERMS}, {CHOSEN}, n AS (SELECT doc_id FROM h GROUP BY 1) "
     f"SELECT (SELECT count(*) FROM v)::INT AS terms, count(*)::DOUBLE AS total_energy, 100::INT AS components FROM n"

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tabweave.automl import AutoTable, FittedTable
 from tabweave.models.registry import GRIDS, task_of
-from tabweave.sources.tables import read_feature_cache, read_pair, read_table, write_feature_cache
+from tabweave.sources.tables import read_feature_cache, read_pair, read_table, write_feature_cache, write_table
 
 ALGORITHMS = [name for group in GRIDS.values() for name in group]
 
@@ -98,6 +98,13 @@ def settings(args: argparse.Namespace) -> AutoTable:
     )
 
 
+def finish(fitted: FittedTable, test: DataFrame, folder: str) -> None:
+    """Metrics, predictions, the run record and, for classes, the report of a scored table."""
+    if fitted.evaluate(test) and fitted.settings.task == "classification":
+        write_table(fitted.report(test), f"{folder}/report", "csv")
+    fitted.save_results(test, folder)
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> dict:
     """Run one command; returns the metrics on the test table, if it is labelled."""
     args = parser().parse_args(argv)
@@ -106,8 +113,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict:
     if args.only_test:
         fitted = FittedTable.load(spark, args.model_path)
         test = read_table(spark, args.test, args.format)
-        fitted.evaluate(test)
-        fitted.save_results(test, args.output_dir)
+        finish(fitted, test, args.output_dir)
         return fitted.metrics
     run_settings = settings(args)
     if args.from_cache:
@@ -121,8 +127,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict:
     if args.save_model:
         fitted.save(spark, f"{args.output_dir}/{args.algorithm}_model")
     if test is not None:
-        fitted.evaluate(test)
-        fitted.save_results(test, args.output_dir)
+        finish(fitted, test, args.output_dir)
     return fitted.metrics
 
 

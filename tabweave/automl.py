@@ -20,7 +20,7 @@ from tabweave.operators.folds import add_folds
 from tabweave.operators.prune import drop_columns
 from tabweave.operators.text_features import detect_text_columns
 from tabweave.plans.feature_plan import FeaturePlan, fit_plan
-from tabweave.plans.roles import Roles, col
+from tabweave.plans.roles import KEPT_TARGET, Roles, col
 from tabweave.plans.text_plan import TextPlan, fit_text_plan
 from tabweave.session import materialize
 from tabweave.sources.tables import prediction_name, predictions_table, write_table
@@ -46,7 +46,7 @@ class AutoTable:
     max_features: int = 2000
     topic_modeling: bool = True
     dimensionality_reduction: bool = True
-    exact: bool = False
+    exact: bool = True
     max_interaction_columns: int = 20
     parallelism: int = 4
     params: dict | None = None
@@ -93,8 +93,12 @@ class AutoTable:
 
     def fit(self, train: DataFrame) -> FittedTable:
         plan, text_plan, data = self.prepare(train)
+        if not self.handle_missing:
+            _check_whole(plan.features, data)
         rows = data.select(col(self.target).cast("double").alias("label"), "features")
-        rows = materialize(rows.select("*", F.monotonically_increasing_id().alias("row_id")), "matrix")
+        # rows go by their content, so folds don't depend on how they lie; equal rows may change places, and are spread
+        order = F.struct(F.xxhash64("label", "features").alias("hash"), F.monotonically_increasing_id().alias("place"))
+        rows = materialize(rows.select("*", order.alias("row_id")), "matrix")
         shape = measure_shape(rows, self.task)
         fitted = FittedTable(self, plan, text_plan)
         if not self.tune:
@@ -112,6 +116,14 @@ class AutoTable:
         return fitted
 
 
+def _check_whole(columns: list[str], data: DataFrame) -> None:
+    """Names the columns that an estimator would fail on, before it runs."""
+    found = data.agg(*[F.count_if(col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    holes = [c for k, c in enumerate(columns) if found[k]]
+    if holes:
+        raise ValueError(f"columns with nulls and handle_missing=False: {holes}")
+
+
 def _dense(df: DataFrame, text_plan: TextPlan | None) -> DataFrame:
     """SVD arrays as vectors of known size, which the assembler needs on streams."""
     arrays = {f"{c}_svd": basis.shape[1] for c, basis in text_plan.bases.items()} if text_plan else {}
@@ -151,13 +163,16 @@ class FittedTable:
         scored = self._scored(df)
         if self.plan.classes is not None:
             scored = scored.withColumn("prediction", decode_labels(F.col("prediction"), self.plan.classes))
+        if KEPT_TARGET in scored.columns:
+            scored = scored.withColumn(self.settings.target, F.col(KEPT_TARGET))
         return predictions_table(scored, self.settings.keep, name)
 
     def evaluate(self, df: DataFrame) -> dict:
-        """Metrics on labelled rows; empty when the target is absent."""
-        if self.settings.target not in df.columns:
+        """Metrics on labelled rows; empty when the target is absent or null everywhere."""
+        target = self.settings.target
+        if target not in df.columns or df.where(col(target).isNotNull()).isEmpty():
             return {}
-        scored = self._scored(df)
+        scored = self._scored(df.where(col(target).isNotNull()))
         if self.settings.task == "classification":
             found = evaluate.accuracy(scored, self.settings.target, "prediction")
         else:
@@ -166,8 +181,8 @@ class FittedTable:
         return self.metrics
 
     def report(self, df: DataFrame) -> DataFrame:
-        """Classification report with the original class names."""
-        scored = self._scored(df)
+        """Classification report with the original class names, over the labelled rows."""
+        scored = self._scored(df.where(col(self.settings.target).isNotNull()))
         classes = self.plan.classes
         pair = scored.select(
             decode_labels(col(self.settings.target), classes).alias("label"),

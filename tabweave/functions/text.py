@@ -22,7 +22,7 @@ KEPT_SPACES = " \t\n\x0b\f\r"
 OTHER_LETTERS = r"[^\x00-\x7fа-яА-Я]+"
 
 BLANKED_MARKS = "".join(
-    chr(i) for i in range(1, 128) if not chr(i).isalnum() and chr(i) not in KEPT_MARKS + KEPT_SPACES
+    chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) not in KEPT_MARKS + KEPT_SPACES
 )
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 UPPER = r"\p{IsUppercase}"

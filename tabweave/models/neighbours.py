@@ -39,7 +39,7 @@ class Neighbours(Estimator, _NeighbourParams, DefaultParamsReadable, DefaultPara
 
     def _fit(self, dataset: DataFrame) -> NeighboursModel:
         rows = dataset.select(
-            F.monotonically_increasing_id().alias("train_id"),
+            F.xxhash64(dataset[self.getFeaturesCol()], dataset[self.getLabelCol()].cast("double")).alias("train_id"),
             vector_to_array(dataset[self.getFeaturesCol()]).alias("train_vector"),
             dataset[self.getLabelCol()].cast("double").alias("label"),
         )
@@ -96,11 +96,11 @@ class NeighboursModel(Model, _NeighbourParams):
         return cls.read().load(path)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Predict every row; rows get an id in a table first, so retried tasks agree on it."""
-        rows = materialize(dataset.select("*", F.monotonically_increasing_id().alias("__row_id")), "knn-queries")
+        """Predict every row. Equal vectors are one query, known by their hash, so neither ties nor retries depend on places."""
+        rows = materialize(dataset.select("*", F.xxhash64(col(self.getFeaturesCol())).alias("__row_id")), "knn-queries")
         queries = rows.select(
             F.col("__row_id").alias("query_id"), vector_to_array(col(self.getFeaturesCol())).alias("query_vector")
-        )
+        ).dropDuplicates(["query_id"])
         found = knn_join(queries, self.train, self.getOrDefault(self.k), self.getOrDefault(self.p))
         answer = vote if self.getOrDefault(self.task) == "classification" else average
         predicted = answer(found, self.getOrDefault(self.weights)).select(

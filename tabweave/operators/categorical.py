@@ -147,16 +147,16 @@ def fit_labels(df: DataFrame, target: str) -> list:
 
 
 def encode_labels(df: DataFrame, target: str, classes: list, unseen_to_first: bool = False) -> DataFrame:
-    """Replace labels by their position in ``classes``; unseen ones by null, or by the first class."""
+    """Replace labels by their position in ``classes``; unseen ones by null, or by the first class. Null stays null."""
     if len(classes) <= INLINE_CLASSES:
         at = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target))
         missing = F.lit(0.0) if unseen_to_first else F.lit(None).cast("double")
-        found = F.when(at > 0, (at - 1).cast("double")).otherwise(missing)
+        found = F.when(col(target).isNotNull(), F.when(at > 0, (at - 1).cast("double")).otherwise(missing))
         return df.select(*[found.alias(c) if c == target else col(c) for c in df.columns])
     spark = df.sparkSession
     kind = df.schema[target].dataType.simpleString()
     table = spark.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"__label {kind}, __code double")
-    code = F.coalesce(F.col("__code"), F.lit(0.0)) if unseen_to_first else F.col("__code")
+    code = F.coalesce(F.col("__code"), F.when(col(target).isNotNull(), 0.0)) if unseen_to_first else F.col("__code")
     joined = df.join(F.broadcast(table), col(target) == F.col("__label"), "left")
     return joined.select(*[code.alias(c) if c == target else col(c) for c in df.columns])
 

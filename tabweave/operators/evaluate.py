@@ -19,18 +19,19 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    return df.agg(F.avg((col(label) == col(prediction)).cast("double")).alias("accuracy"))
+    """Share of labelled rows that are right; rows without a label don't count."""
+    return df.where(col(label).isNotNull()).agg(F.avg((col(label) == col(prediction)).cast("double")).alias("accuracy"))
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy, macro and weighted means.
 
-    The rows are read once, for the confusion counts; the rest is a chain over at most
-    classes x classes rows.
+    Rows without a label don't count. The rest are read once, for the confusion counts; what follows is over at
+    most classes x classes rows, and both parts of the report share that shuffle.
     """
     n, none = F.col("n"), F.lit(0).cast("long")
     hit = F.when(F.col("label") == F.col("prediction"), n).otherwise(none)
-    sides = confusion(df, label, prediction).select(
+    sides = confusion(df.where(col(label).isNotNull()), label, prediction).select(
         F.inline(
             F.array(
                 F.struct(F.col("label").alias("class"), n.alias("support"), none.alias("predicted"), hit.alias("hit")),
@@ -49,7 +50,6 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     )
     measures = ["precision", "recall", "f1"]
     means = scored.agg(
-        F.collect_list(F.struct("class", *measures, "support")).alias("rows"),
         F.sum("support").alias("support"),
         F.sum("hit").alias("hit"),
         *[F.avg(m).alias(f"macro_{m}") for m in measures],
@@ -64,7 +64,7 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
         line("macro avg", [F.col(f"macro_{m}") for m in measures]),
         line("weighted avg", [F.col(f"weighted_{m}") for m in measures]),
     )
-    return means.select(F.inline(F.concat("rows", summary)))
+    return scored.select("class", *measures, "support").unionByName(means.select(F.inline(summary)))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -146,8 +146,8 @@ def knn_join(
     """``(query_id, train_id, label, distance, rank)`` of the k nearest training rows of every query.
 
     ``queries`` has ``query_id bigint, query_vector array<double>`` and ``train`` has
-    ``train_id bigint, train_vector array<double>, label double``; ids are unique. Ties go to the
-    smaller id.
+    ``train_id bigint, train_vector array<double>, label double``; query ids are unique, and training
+    rows that share an id are equal rows. Ties go to the smaller id.
     """
     if p not in (1, 2):
         raise ValueError("p is 1 or 2")
@@ -191,7 +191,8 @@ def knn_join(
         return F.pmod(F.xxhash64(F.lit(17), key), count).cast("int")
 
     left = spread.select("*", own("query_id", n_query).alias("qb"), every(n_train).alias("tb"))
-    right = placed.drop("gap").select("*", own("train_id", n_train).alias("tb"), every(n_query).alias("qb"))
+    right = placed.drop("gap").withColumn("place", F.monotonically_increasing_id())
+    right = right.select("*", own("place", n_train).alias("tb"), every(n_query).alias("qb")).drop("place")
     keys = ["cell", "qb", "tb"]
     pairs = (
         left.groupBy(*keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.operators.profile import NEAR_UNIQUE, ColumnProfile
-from tabweave.plans.roles import Roles, col
+from tabweave.plans.roles import KEPT_TARGET, Roles, col
 
 MOSTLY_NULL = 0.5
 
@@ -60,7 +60,7 @@ def conform(df: DataFrame, features: list[str], roles: Roles) -> DataFrame:
     """The given features in order, absent ones as 0, then kept columns and the target if present."""
     present = set(df.columns)
     out = [col(c) if c in present else F.lit(0.0).alias(c) for c in features]
-    tail = [c for c in (*roles.keep, roles.target) if c in present and c not in features]
+    tail = [c for c in dict.fromkeys((*roles.keep, roles.target, KEPT_TARGET)) if c in present and c not in features]
     return df.select(*out, *[col(c) for c in tail])
 
 

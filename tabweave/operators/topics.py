@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorSizeHint
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
@@ -28,15 +29,22 @@ def topic_count(terms: int, wanted: int = TOPICS) -> int | None:
 
 
 def fit_topics(df: DataFrame, vectors: str, topics: int, seed: int = SEED) -> LDAModel:
-    """Online LDA; documents without any term are left out of the fit."""
+    """Online LDA; each of the ``TOPIC_ROUNDS`` rounds reads every document. Those without any term change nothing."""
     lda = LDA(
-        k=topics, maxIter=TOPIC_ROUNDS, optimizer="online", seed=seed, featuresCol=vectors, topicDistributionCol="__topics"
+        k=topics, maxIter=TOPIC_ROUNDS, optimizer="online", subsamplingRate=1.0, seed=seed, featuresCol=vectors, topicDistributionCol="__topics"
     )
     return lda.fit(df.select(col(vectors)))
 
 
 def add_topics(df: DataFrame, vectors: str, model: LDAModel, output: str) -> DataFrame:
-    return model.setFeaturesCol(vectors).setTopicDistributionCol(output).transform(df)
+    """Shares of each topic; a document without any term has equal shares."""
+    count = model.getK()
+    made = model.setFeaturesCol(vectors).setTopicDistributionCol("__topics").transform(df)
+    shares = vector_to_array("__topics")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    even = F.array_repeat(F.lit(1.0 / count), count)
+    made = made.select("*", array_to_vector(F.when(total > 0, shares).otherwise(even)).alias(output)).drop("__topics")
+    return VectorSizeHint(inputCol=output, size=count, handleInvalid="optimistic").transform(made)
 
 
 def component_count(terms: int, wanted: int = COMPONENTS) -> int | None:

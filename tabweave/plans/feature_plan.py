@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from tabweave.operators import categorical, dates, missing, numeric, pca, prune, scaling, selection
 from tabweave.operators.lookup import Lookup
 from tabweave.operators.profile import profile
-from tabweave.plans.roles import Roles, col, is_string, normalize, numeric_columns, string_columns
-from tabweave.session import materialize, widened
+from tabweave.plans.roles import KEPT_TARGET, Roles, col, is_numeric, is_string, normalize, numeric_columns, string_columns
+from tabweave.session import materialize
 
 
 @dataclass
@@ -57,10 +57,30 @@ class FeaturePlan:
             return df
         return categorical.encode_labels(df, self.roles.target, self.classes, unseen_to_first=True)
 
+    def conform_raw(self, df: DataFrame) -> DataFrame:
+        """The raw columns of training in their types; absent ones are null, or 0 if the plan fills nothing, others go.
+
+        Values that the type can't hold become null. Kept, target, text and late columns stay as they are; a target that is
+        also kept is carried along unencoded.
+        """
+        raw, roles = self.steps["raw"], self.roles
+        others = {*roles.keep, *roles.text, *self.steps["late"], roles.target}
+        out = [col(c) for c in df.columns if c in others and c != KEPT_TARGET]
+        for name, kind in raw.items():
+            if name in df.columns:
+                same = df.schema[name].dataType.simpleString() == kind
+                out.append(col(name) if same else col(name).try_cast(kind).alias(name))
+            else:
+                zero = "missing" not in self.steps and is_numeric(T.DataType.fromDDL(kind))
+                out.append((F.lit(0) if zero else F.lit(None)).cast(kind).alias(name))
+        if roles.target in roles.keep and roles.target in df.columns:
+            out.append(col(roles.target).alias(KEPT_TARGET))
+        return df.select(*out)
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Kept columns, the target if present, then the plan's features in order."""
         steps = self.steps
-        df = self.encode_target(normalize(df, self.roles))
+        df = self.encode_target(normalize(self.conform_raw(df), self.roles))
         df = self._construct(booleans_to_numbers(df, self.roles))
         df = prune.drop_columns(df, steps["pruned"])
         if "missing" in steps:
@@ -147,7 +167,7 @@ def fit_plan(
     feature_engineering: bool = True,
     handle_missing: bool = True,
     encode_categorical: bool = True,
-    exact: bool = False,
+    exact: bool = True,
     max_interaction_columns: int = numeric.MAX_INTERACTION_COLUMNS,
     late: tuple[str, ...] = (),
 ) -> tuple[FeaturePlan, DataFrame]:
@@ -163,7 +183,9 @@ def fit_plan(
         raise ValueError(f"target column '{roles.target}' not found; available columns: {df.columns}")
     plan = FeaturePlan(roles, task)
     steps = plan.steps
-    df = widened(normalize(df, roles), "training-rows")
+    df = normalize(df, roles)
+    steps["late"] = list(late)
+    steps["raw"] = {c: df.schema[c].dataType.simpleString() for c in roles.features(df) if c not in late}
     if roles.target is not None:
         df = df.where(col(roles.target).isNotNull())
         if task == "classification":

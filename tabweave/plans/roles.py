@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Carries a target that is also kept, as it was given, past the encoding of labels.
+KEPT_TARGET = "__kept_target"
 DATE_KEYWORDS = ("date", "time", "year", "month", "day")
 
 
@@ -16,10 +18,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 @dataclass(frozen=True)
 class Roles:
     """Which column is the target, which pass through untouched, which hold prose."""
@@ -29,7 +27,7 @@ class Roles:
     text: tuple[str, ...] = ()
 
     def features(self, df: DataFrame) -> list[str]:
-        skip = {self.target, *self.keep, *self.text}
+        skip = {self.target, KEPT_TARGET, *self.keep, *self.text}
         return [c for c in df.columns if c not in skip]
 
     def to_dict(self) -> dict:

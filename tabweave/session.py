@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT_PER_CORE = 32 * 1024 * 1024
-
 
 @functools.cache
 def _local_folder() -> str:
@@ -37,36 +35,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _input_bytes(df: DataFrame, files: list[str], enough: int) -> int:
-    """Bytes of the files behind a frame; stops counting at ``enough``."""
-    context = df.sparkSession.sparkContext
-    conf, total = context._jsc.hadoopConfiguration(), 0
-    for name in files:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-        if total >= enough:
-            break
-    return total
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """One partition per core for a few small files, whose pieces would leave cores idle.
-
-    Looks only at the files' number and sizes. Anything larger is left as Spark splits it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming:
-        return df
-    files = df.inputFiles()
-    small = cores * SMALL_INPUT_PER_CORE
-    if not files or len(files) >= cores or _input_bytes(df, files, small) >= small:
-        return df
-    return df.repartition(cores)
-
-
-def widened(df: DataFrame, name: str) -> DataFrame:
-    """A table in fewer pieces than there are cores, rewritten once so that many passes use them all."""
-    pieces = spread(df)
-    return df if pieces is df else materialize(pieces, name)

@@ -64,7 +64,18 @@ def read_pair(
     if train is None:
         raise FileNotFoundError("no train table found")
     first = read_table(spark, train, kind, schema)
-    return first, read_table(spark, test, kind) if test else None
+    if test is None:
+        return first, None
+    return first, read_table(spark, test, kind, _schema_for(spark, test, kind, schema))
+
+
+def _schema_for(spark: SparkSession, path: str, kind: str | None, schema: T.StructType | str | None) -> T.StructType | str | None:
+    """The schema for a table that may lack columns. CSV goes by place, so its header picks and orders the fields."""
+    if schema is None or _format(path, kind) != "csv":
+        return schema
+    known = {f.name: f for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields}
+    names = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in names])
 
 
 def write_feature_cache(train: DataFrame, test: DataFrame | None, path: str) -> None:
