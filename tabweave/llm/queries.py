@@ -141,7 +141,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    labelled = docs.filter(~held_out).join(labels, "doc_id").select("text", "label")
+    labelled = toxicity.labelled_sample(docs.filter(~held_out), labels)
     found = toxicity.score_toxicity(docs, labelled, ~held_out).select("row.doc_id", "score")
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

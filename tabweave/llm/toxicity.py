@@ -67,6 +67,19 @@ def _smallest(rows: DataFrame, limit: int) -> DataFrame:
     return keyed.groupBy("__h").agg(*[F.min(c).alias(c) for c in rows.columns]).orderBy("__h").limit(limit).drop("__h")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> DataFrame:
+    """text and label of at most ``limit`` rows of docs (doc_id, text) that have a label (doc_id, label).
+
+    Rows are picked by the smallest hash of their text, from ids and hashes alone; only the texts of those picked move.
+    """
+    keys = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text", F.lit(7)).alias("h"))
+    known = labels.filter(F.col("label").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), "label")
+    picked = keys.join(known, "d").groupBy("h").agg(F.min(F.struct("d", "label")).alias("r")).orderBy("h").limit(limit)
+    picked = materialize(picked.select("h", "r.d", "r.label"), "toxic-picked")
+    met = (F.col("doc_id").cast("long") == F.col("d")) & (F.xxhash64("text", F.lit(7)) == F.col("h"))
+    return docs.join(F.broadcast(picked), met).select("text", "label")  # limit rows of three numbers
+
+
 def candidates(labelled: DataFrame) -> tuple[list[str], list[str]]:
     """(candidate terms, lexicon) from rows with text and label (1: toxic).
 

@@ -19,7 +19,10 @@ def corpus(rng, n):
 def test_held_out_rows_are_told_apart(spark):
     rows = corpus(random.Random(4), 1200)
     df = spark.createDataFrame([(*r, "t", 0.5) for r in rows], "doc_id long, text string, label int, terms string, score double")
-    scored = toxicity.score_toxicity(df, df.filter("doc_id % 3 <> 1").select("text", "label"))
+    sample = toxicity.labelled_sample(df.filter("doc_id % 3 <> 1"), df.select("doc_id", "label"))
+    assert sample.count() == df.filter("doc_id % 3 <> 1").select("text").distinct().count()
+    assert toxicity.labelled_sample(df, df.select("doc_id", "label"), 10).count() == 10
+    scored = toxicity.score_toxicity(df, sample)
     held = [r for r in scored.collect() if r.row.doc_id % 3 == 1]
     wrong = sum((r.score >= 0.7) != (r.row.label == 1) for r in held)
     assert len(held) == 400 and wrong <= 8
