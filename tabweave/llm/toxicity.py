@@ -72,6 +72,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_RO
 
     Rows are picked by the smallest hash of their text, from ids and hashes alone; only the texts of those picked move.
     """
+    docs = docs.select("doc_id", "text")
     keys = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text", F.lit(7)).alias("h"))
     known = labels.filter(F.col("label").isNotNull()).select(F.col("doc_id").cast("long").alias("d"), "label")
     picked = keys.join(known, "d").groupBy("h").agg(F.min(F.struct("d", "label")).alias("r")).orderBy("h").limit(limit)
