@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, may_train: Column | Non
 
     ``labelled`` has text and label, the rows from which labels may be learned. ``may_train`` says which rows of docs the
     classifier may see with their posteriors (all by default). A null or empty text has no terms and gets the score of one.
-    Without labelled rows of both classes every score is 0.
+    Without labelled rows of both classes every score is 0; without rows to train on, the score is the posterior.
     """
     terms, lexicon = candidates(labelled)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
@@ -231,6 +231,8 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, may_train: Column | Non
     counts.setBinary(True)
     sample = voted.filter("train").select("hash", "terms", "posterior").orderBy("hash", "posterior").limit(TRAINING_ROWS)
     sample = materialize(sample.repartition(8), "toxic-training")
+    if sample.isEmpty():
+        return voted.select("row", F.col("posterior").alias("score"), "posterior")
     both = sample.select("terms", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("w")))).alias("x"))
     both = counts.transform(both.select("terms", "x.label", F.col("x.w").alias("w")).filter("w > 0.001"))
     fitted = LogisticRegression(weightCol="w", regParam=2e-5, standardization=False, maxIter=100).fit(both)
