@@ -101,6 +101,8 @@ def train(labelled: DataFrame):
 
 def _rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as a struct of its text and verdict; null if none. Of equal rules, block wins."""
+    if not rules:
+        return F.lit(None).cast("struct<size:int,rule:string,blocks:boolean,verdict:string>")
     fits = []
     for rule_host, rule_path, verdict in rules:
         at = (host == rule_host) | F.endswith(host, F.lit(f".{rule_host}"))
