@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.models.registry import grid, measure_shape, task_of
-from tabweave.models.tuning import candidates, distinct_candidates, fit_default, search
+from tabweave.models.tuning import candidates, cross_score, distinct_candidates, fit_default, search
 from tabweave.operators import evaluate
 from tabweave.operators.categorical import decode_labels
 from tabweave.operators.folds import add_folds
@@ -107,8 +107,8 @@ class AutoTable:
             by = "label" if self.task == "classification" else None
             folded = materialize(add_folds(rows, "row_id", self.cv_folds, by), "folds")
             common = (shape, self.cv_folds, "fold", self.seed, self.parallelism)
-            base = search(folded, self.algorithm, self.task, [{}], *common)
-            fitted.baseline = {"score": base.score, "spread": base.spread}
+            score, spread = cross_score(folded, self.algorithm, self.task, {}, *common[:-1])
+            fitted.baseline = {"score": score, "spread": spread}
             kind, points = candidates(self.algorithm, self.task, self.cv_folds, self.seed)
             found = search(folded, self.algorithm, self.task, distinct_candidates(self.algorithm, points), *common)
             fitted.search = kind

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import itertools
-import math
 import random
+import statistics
 from dataclasses import dataclass
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabweave.models.registry import Shape, build, grid, spark_params
 
@@ -33,10 +34,6 @@ def evaluator(task: str) -> Evaluator:
     return RegressionEvaluator(metricName="r2")
 
 
-def grid_size(space: dict[str, list]) -> int:
-    return math.prod(len(v) for v in space.values())
-
-
 def grid_points(space: dict[str, list]) -> list[dict]:
     names = list(space)
     return [dict(zip(names, values)) for values in itertools.product(*space.values())]
@@ -97,6 +94,17 @@ def search(
     )
 
 
+def cross_score(
+    data: DataFrame, algorithm: str, task: str, params: dict, shape: Shape, folds: int, fold_column: str = "fold", seed: int = 42
+) -> tuple[float, float]:
+    """Mean score over the folds and two deviations, without a fit on all rows."""
+    scores = []
+    for k in range(folds):
+        fitted = Pipeline(stages=[build(algorithm, params, shape, seed)]).fit(data.where(F.col(fold_column) != k))
+        scores.append(evaluator(task).evaluate(fitted.transform(data.where(F.col(fold_column) == k))))
+    return statistics.fmean(scores), statistics.pstdev(scores) * 2
+
+
 def fit_default(data: DataFrame, algorithm: str, shape: Shape, seed: int = 42, params: dict | None = None) -> SearchResult:
     """One fit without tuning."""
     params = params or {}

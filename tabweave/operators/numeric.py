@@ -123,10 +123,14 @@ def fit_numeric(
     profiles: dict[str, ColumnProfile] | None = None,
     exact: bool = True,
     max_interaction_columns: int = MAX_INTERACTION_COLUMNS,
+    encoded_target: bool = False,
 ) -> dict:
-    """Choose bins, logs and row statistics from the profile and the quantiles."""
+    """Choose bins, logs and row statistics from the profile and the quantiles.
+
+    Row statistics need more than two numeric columns. The target counts, unless its numbers are encoded classes.
+    """
     columns = numeric_columns(df, roles.features(df))
-    everything = numeric_columns(df)
+    everything = [c for c in numeric_columns(df) if not (encoded_target and c == roles.target)]
     profiles = profiles or profile(df, columns, exact=exact)
     pairwise(columns, max_interaction_columns)
     binned = [c for c in columns if profiles[c].distinct > BIN_DISTINCT_ABOVE]

@@ -22,31 +22,26 @@ def component_count(shares: list[float], variance: float = PCA_VARIANCE) -> int:
     return int(min(np.searchsorted(total, variance, side="right") + 1, len(shares)))
 
 
-def explained_shares(df: DataFrame, columns: list[str]) -> list[float]:
-    check_width(columns)
-    return PCA(k=len(columns), inputCol="features", outputCol="pc").fit(assemble(df, columns)).explainedVariance.toArray().tolist()
-
-
 def fit_pca(df: DataFrame, columns: list[str], variance: float = PCA_VARIANCE) -> tuple[dict, PCAModel]:
     """Fit on a distributed covariance; the driver holds d x d numbers.
 
     Spark's model neither centres new rows nor fixes signs, so the spec carries the projected
-    mean and a sign per component (its largest loading is positive).
+    mean and a sign per component (its largest loading is positive). The model holds all
+    components; the spec says how many count.
     """
     check_width(columns)
     data = assemble(df, columns)
-    full = PCA(k=len(columns), inputCol="features", outputCol="pc").fit(data)
-    k = component_count(full.explainedVariance.toArray().tolist(), variance)
-    model = full if k == len(columns) else PCA(k=k, inputCol="features", outputCol="pc").fit(data)
+    model = PCA(k=len(columns), inputCol="features", outputCol="pc").fit(data)
+    k = component_count(model.explainedVariance.toArray().tolist(), variance)
     mean = data.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
-    loadings = model.pc.toArray()
+    loadings = model.pc.toArray()[:, :k]
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     spec = {
         "op": "pca",
         "columns": columns,
         "offsets": (mean @ loadings).tolist(),
         "signs": signs.tolist(),
-        "shares": model.explainedVariance.toArray().tolist(),
+        "shares": model.explainedVariance.toArray()[:k].tolist(),
     }
     return spec, model
 

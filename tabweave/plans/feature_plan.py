@@ -186,6 +186,7 @@ def fit_plan(
     df = normalize(df, roles)
     steps["late"] = list(late)
     steps["raw"] = {c: df.schema[c].dataType.simpleString() for c in roles.features(df) if c not in late}
+    named = roles.target is not None and not is_numeric(df.schema[roles.target].dataType)
     if roles.target is not None:
         df = df.where(col(roles.target).isNotNull())
         if task == "classification":
@@ -200,7 +201,7 @@ def fit_plan(
         names = [c for c in early.features(df) if c in numeric_columns(df) or c in string_columns(df)]
         found = profile(df, names, exact=exact)
         numbers = {c: found[c] for c in numeric_columns(df, names)}
-        steps["numeric"] = numeric.fit_numeric(df, early, numbers, exact, max_interaction_columns)
+        steps["numeric"] = numeric.fit_numeric(df, early, numbers, exact, max_interaction_columns, named)
         strings = string_columns(df, names)
         plan.lookups |= {f"freq:{c}": v for c, v in categorical.fit_lookups(df, strings).items()}
         steps["rare"] = [c for c in strings if found[c].distinct > categorical.RARE_DISTINCT_ABOVE]
