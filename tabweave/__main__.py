@@ -9,9 +9,9 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabweave.automl import AutoTable, FittedTable
+from tabweave.automl import AutoTable, FittedTable, load_prepared, save_prepared
 from tabweave.models.registry import GRIDS, task_of
-from tabweave.sources.tables import read_feature_cache, read_pair, read_table, write_feature_cache, write_table
+from tabweave.sources.tables import read_feature_cache, read_pair, read_table, write_table
 
 ALGORITHMS = [name for group in GRIDS.values() for name in group]
 
@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     data.add_argument("--format", choices=["csv", "parquet", "json"], help="table format; by file name if absent")
     data.add_argument("--target", "-t", help="column to predict")
     data.add_argument("--output_columns", "-o", nargs="+", default=[], help="columns passed through untouched")
-    data.add_argument("--from_cache", action="store_true", help="take the tables of an earlier run's cache")
+    data.add_argument("--from_cache", action="store_true", help="take the processed features of an earlier run; raw tables are not read")
     data.add_argument("--dataset_type", choices=["structured", "text", "mixed"], default="structured")
     data.add_argument("--text_columns", nargs="+", help="columns that hold prose; found if absent")
     model = out.add_argument_group("model")
@@ -67,8 +67,8 @@ def check(args: argparse.Namespace) -> None:
     if args.only_train and args.only_test:
         raise SystemExit("choose one of --only_train and --only_test")
     if args.only_test:
-        if not args.model_path or not args.test:
-            raise SystemExit("--only_test needs --model_path and --test")
+        if not args.model_path or not (args.test or args.from_cache):
+            raise SystemExit("--only_test needs --model_path and --test or --from_cache")
         return
     if not (args.path or args.train or args.from_cache):
         raise SystemExit("give --path, --train or --from_cache")
@@ -112,18 +112,21 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict:
     cache = f"{args.output_dir}/cache"
     if args.only_test:
         fitted = FittedTable.load(spark, args.model_path)
-        test = read_table(spark, args.test, args.format)
+        test = spark.read.parquet(f"{cache}/test") if args.from_cache else read_table(spark, args.test, args.format)
         finish(fitted, test, args.output_dir)
         return fitted.metrics
     run_settings = settings(args)
     if args.from_cache:
-        train, test = read_feature_cache(spark, cache)
+        _, test = read_feature_cache(spark, cache)
     else:
         train, test = read_pair(spark, args.path, args.train, args.test, args.format)
-        write_feature_cache(train, test, cache)
+        save_prepared(spark, cache, *run_settings.prepare(train))
     if args.only_train:
         test = None
-    fitted = run_settings.fit(train)
+    fitted = run_settings.fit_prepared(*load_prepared(spark, cache, run_settings))
+    if test is not None and not args.from_cache:
+        write_table(fitted.prepared(test), f"{cache}/test", "parquet")
+        test = spark.read.parquet(f"{cache}/test")
     if args.save_model:
         fitted.save(spark, f"{args.output_dir}/{args.algorithm}_model")
     if test is not None:

@@ -26,6 +26,10 @@ from tabweave.session import materialize
 from tabweave.sources.tables import prediction_name, predictions_table, write_table
 
 
+#: Marks rows that hold the model's features already.
+PREPARED = "__prepared"
+
+
 @dataclass
 class AutoTable:
     """Settings of a run; ``fit`` returns a :class:`FittedTable`."""
@@ -92,7 +96,10 @@ class AutoTable:
         return plan, text_plan, plan.vectorize(_dense(data, text_plan), vectors)
 
     def fit(self, train: DataFrame) -> FittedTable:
-        plan, text_plan, data = self.prepare(train)
+        return self.fit_prepared(*self.prepare(train))
+
+    def fit_prepared(self, plan: FeaturePlan, text_plan: TextPlan | None, data: DataFrame) -> FittedTable:
+        """Fit on a matrix that :meth:`prepare` made, now or in an earlier run."""
         if not self.handle_missing:
             _check_whole(plan.features, data)
         rows = data.select(col(self.target).cast("double").alias("label"), "features")
@@ -116,6 +123,19 @@ class AutoTable:
         return fitted
 
 
+def save_prepared(spark: SparkSession, path: str, plan: FeaturePlan, text_plan: TextPlan | None, data: DataFrame) -> None:
+    """The fitted plans and the training matrix."""
+    write_table(data, f"{path}/train", "parquet")
+    plan.save(spark, f"{path}/features")
+    if text_plan is not None:
+        text_plan.save(spark, f"{path}/text")
+
+
+def load_prepared(spark: SparkSession, path: str, settings: AutoTable) -> tuple[FeaturePlan, TextPlan | None, DataFrame]:
+    text_plan = None if settings.dataset_type == "structured" else TextPlan.load(spark, f"{path}/text")
+    return FeaturePlan.load(spark, f"{path}/features"), text_plan, spark.read.parquet(f"{path}/train")
+
+
 def _check_whole(columns: list[str], data: DataFrame) -> None:
     """Names the columns that an estimator would fail on, before it runs."""
     found = data.agg(*[F.count_if(col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
@@ -148,12 +168,18 @@ class FittedTable:
     metrics: dict = field(default_factory=dict)
 
     def features(self, df: DataFrame) -> DataFrame:
-        """The rows as the model sees them."""
+        """The rows as the model sees them; those that :meth:`prepared` returned stay as they are."""
+        if PREPARED in df.columns:
+            return df.drop(PREPARED)
         if self.text_plan:
             df = self.text_plan.transform(df)
         vectors = tuple(self.text_plan.vectors) if self.text_plan else ()
         return self.plan.vectorize(_dense(self.plan.transform(df), self.text_plan), vectors)
 
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Features that can be stored, and scored later without the raw table."""
+        return self.features(df).withColumn(PREPARED, F.lit(True))
+
     def _scored(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.features(df))
 

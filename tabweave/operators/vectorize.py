@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import ngrams, term_counts, tokens
@@ -113,10 +112,18 @@ def add_vectors(df: DataFrame, text: Column, spec: dict, output: str) -> DataFra
 
 
 def long_terms(df: DataFrame, key: str, text: Column, spec: dict) -> DataFrame:
-    """``(key, term, weight)`` rows for the terms of the vocabulary, without a shuffle."""
-    vocabulary = df.sparkSession.createDataFrame(list(enumerate(spec["terms"])), "at int, term string")
-    vectors = add_vectors(df, text, spec, "__vector").select(
-        col(key), F.posexplode(vector_to_array("__vector")).alias("at", "weight")
-    )
-    hits = vectors.where(F.col("weight") != 0)
-    return hits.join(F.broadcast(vocabulary), "at").select(col(key), "term", "weight")
+    """``(key, term, weight)`` rows for the terms of the vocabulary.
+
+    Only terms that a row holds are made; the vocabulary, at most ``max_features`` rows, is broadcast. TF-IDF shuffles the found
+    terms once, for the length of each row's vector.
+    """
+    vocabulary = df.sparkSession.createDataFrame(list(zip(spec["terms"], spec["idf"])), "term string, idf double")
+    terms = terms_of(text, tuple(spec["stop_words"]), tuple(spec["sizes"]))
+    rows = df.select(col(key), F.monotonically_increasing_id().alias("__row"), terms.alias("__terms"))
+    counted = rows.select(col(key), "__row", F.inline(term_counts(F.col("__terms"))))
+    found = counted.join(F.broadcast(vocabulary), "term")
+    if spec["method"] != "tfidf":
+        return found.select(col(key), "term", F.col("tf").cast("double").alias("weight"))
+    weighed = found.withColumn("__w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy("__row")))
+    return weighed.select(col(key), "term", (F.col("__w") / length).alias("weight"))

@@ -153,6 +153,11 @@ def test_command_line_modes(spark):
     assert scored.columns == ["id", "prediction"] and scored.count() == 50
     again = run(spark, ["--only_test", "--test", f"{base}/test.csv", "--model_path", f"{base}/out/DecisionTreeClassifier_model", "--output_dir", f"{base}/out2"])
     assert again == metrics
-    assert run(spark, ["--from_cache", *common, "--no_feature_engineering"]) == metrics
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tabweave.automl.fit_plan", None)  # nothing is prepared again
+        assert run(spark, ["--from_cache", *common, "--no_feature_engineering"]) == metrics
+    model = f"{base}/out/DecisionTreeClassifier_model"
+    assert run(spark, ["--only_test", "--from_cache", "--model_path", model, "--output_dir", f"{base}/out"]) == metrics
+    assert spark.read.csv(f"{base}/out/report", header=True).columns == ["class", "precision", "recall", "f1", "support"]
     with pytest.raises(SystemExit):
         run(spark, ["--only_test", "--test", "x"])
