@@ -32,7 +32,8 @@ def plan_and_transform(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate", "l_returnflag"
     )
-    plan, made = fit_plan(rows, Roles("l_returnflag", ("l_orderkey",)), "classification")
+    cores = spark.sparkContext.defaultParallelism
+    plan, made = fit_plan(rows, Roles("l_returnflag", ("l_orderkey",)), "classification", partitions=cores)
     return made
 
 

@@ -53,6 +53,7 @@ class AutoTable:
     exact: bool = True
     max_interaction_columns: int = 20
     parallelism: int = 4
+    partitions: int | None = None
     params: dict | None = None
 
     def __post_init__(self):
@@ -92,6 +93,7 @@ class AutoTable:
             self.exact,
             self.max_interaction_columns,
             late,
+            self.partitions,
         )
         return plan, text_plan, plan.vectorize(_dense(data, text_plan), vectors)
 

@@ -170,10 +170,12 @@ def fit_plan(
     exact: bool = True,
     max_interaction_columns: int = numeric.MAX_INTERACTION_COLUMNS,
     late: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> tuple[FeaturePlan, DataFrame]:
     """Fit all steps in order and return the plan with the transformed training rows.
 
-    ``late`` names numeric columns, such as text statistics, that join after encoding. The
+    ``partitions``, if given, is how many pieces the training rows are dealt into first, for tables in few files; results
+    don't depend on it. ``late`` names numeric columns, such as text statistics, that join after encoding. The
     encoded frame is written once to the shared folder: later statistics and every search fit
     read it instead of deriving it again.
     """
@@ -184,6 +186,8 @@ def fit_plan(
     plan = FeaturePlan(roles, task)
     steps = plan.steps
     df = normalize(df, roles)
+    if partitions is not None:
+        df = materialize(df.repartition(partitions), "training-rows")
     steps["late"] = list(late)
     steps["raw"] = {c: df.schema[c].dataType.simpleString() for c in roles.features(df) if c not in late}
     named = roles.target is not None and not is_numeric(df.schema[roles.target].dataType)

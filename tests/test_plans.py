@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,13 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     best = Window.partitionBy("w").orderBy("a", "id")
     df = wide(spark).select("*", F.row_number().over(best).alias("rank")).where("rank <= 3")
     assert plan_of(df).count("WindowGroupLimit") == 2
+
+
+def test_plans_do_not_depend_on_partitions(spark):
+    df = spark.range(300).selectExpr("id", "id % 7 AS a", "(id * 37) % 101 / 3 AS b", "concat('c', id % 5) AS c", "id % 3 AS y")
+    found = [fit_plan(df, Roles("y", ("id",)), "classification", partitions=n)[0] for n in (1, 4, 9)]
+    assert found[0].steps["features"]
+    for plan in found[1:]:
+        scales = plan.steps["scale"]["scales"]
+        assert {c: pytest.approx(v) for c, v in scales.items()} == found[0].steps["scale"]["scales"]
+        assert plan.steps | {"scale": None} == found[0].steps | {"scale": None}
