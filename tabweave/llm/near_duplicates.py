@@ -8,8 +8,12 @@ Candidates are confirmed on full shingle sets, and confirmed links give componen
 The depth adapts to the region: a node is done in a tree if nodes ``REACH`` places away share less than the prefix that chance
 explains. Where they share more (very many copies, common passages) the order alone may not put two similar nodes
 side by side. There each component found so far is replaced by its few nodes with the most links, and the smaller region is
-sorted and searched again, deeper; also, each of these nodes meets the region's most linked ones, so a group around one
+sorted and searched again; also, each of these nodes meets the region's most linked ones, so a group around one
 original comes together. This goes on while new links appear.
+
+That leaves regions of more than one component, whose nodes may still be alike. All their nodes then go through an exact join: shingles
+are ordered by how rare they are there, and two sets that are alike share one of the first few of both. Pairs within a component need
+no look.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ HUBS = 16
 SORTED_ROWS = 100_000
 BROADCAST_NODES = 400_000
 SETS_PER_TASK = 2_000
+#: Rows of a shingle that meet in one task; those of a shingle with more are dealt out.
+POSTINGS = 1_000
+#: Counters of shingles by hash. They only order the shingles, so what shares a counter costs time and no links.
+COUNTERS = 1 << 20
 
 _mult = mix64(np.arange(1, HASHES + 1, dtype=np.uint64))
 _A, _B = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _mult.astype(np.uint32)
@@ -191,10 +199,8 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == PAIR).select("a", "b").distinct()
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    few = pairs.count() * 2 <= BROADCAST_NODES
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """node and its shingles for the nodes in ``wanted``."""
     wanted = nodes.join(F.broadcast(wanted) if few else wanted, "node")
     wanted = stored(wanted.select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "near-wanted")
     met = docs["text_hash"].eqNullSafe(wanted["r_hash"]) & docs["doc_id"].eqNullSafe(wanted["r_id"])
@@ -208,7 +214,14 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int
             yield made.filter(pa.array(right))
 
     made = stored(texts.mapInArrow(sets, "node binary, shingles binary"), "near-sets", SETS_PER_TASK)
-    held = made.dropDuplicates(["node"])
+    return made.dropDuplicates(["node"])
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose full shingle sets have 100 * intersection >= percent * union."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    few = pairs.count() * 2 <= BROADCAST_NODES
+    held = _sets(docs, nodes, wanted, few)
 
     def confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -260,10 +273,18 @@ def near_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
         if new is None:
             break
         links, tried = links.unionByName(new[0]), tried.unionByName(new[1])
-        owner = components(owner.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new[0]))
+        owner = _grown(owner, new[0])
+    if not dense.isEmpty():
+        last = _exact(docs, nodes, owner, dense, tried, percent)
+        if last is not None:
+            links, owner = links.unionByName(last), _grown(owner, last)
     return rows, links, owner
 
 
+def _grown(owner: DataFrame, links: DataFrame) -> DataFrame:
+    return components(owner.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def _deeper(docs: DataFrame, nodes: DataFrame, links: DataFrame, owner: DataFrame, dense: DataFrame, tried: DataFrame, depth: int, percent: int) -> tuple | None:
     """One more round over the dense regions, with a few nodes for each component: new links and pairs tried, or None."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
@@ -286,6 +307,81 @@ def _deeper(docs: DataFrame, nodes: DataFrame, links: DataFrame, owner: DataFram
     return None if new.isEmpty() else (new, pairs)
 
 
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """token, node, component, n (size of the set) and at: the first shingles of each set of ``members`` (node, component, shingles).
+
+    Of two sets with similarity ``percent``, the larger one's share of common shingles is at least that, so later ones needn't be looked up.
+    """
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for part in parts:
+            x = np.frombuffer(binary_parts(part.column("shingles"))[0], np.uint64)
+            total += np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+
+    counts = members.select("shingles").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)  # at most COUNTERS rows, whatever the input
+    often[counts.column("counter").to_numpy()] = counts.column("n").to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(often)
+
+    def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            tokens, sizes = [], []
+            for x in part.column("shingles"):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                order = np.lexsort((x, shared.value[(x % np.uint64(COUNTERS)).astype(np.int64)]))
+                tokens.append(x[order[: len(x) + percent * -len(x) // 100 + 1]])
+                sizes.append(len(x))
+            many = np.array([len(t) for t in tokens], np.int64)
+            row = pa.array(np.repeat(np.arange(len(tokens)), many))
+            at = np.concatenate([np.arange(k) for k in many]) if len(many) else many
+            token = np.concatenate(tokens).view(np.int64) if tokens else many
+            yield pa.record_batch(
+                [pa.array(token), part.column("node").take(row), part.column("component").take(row), pa.array(np.repeat(sizes, many).astype(np.int64)), pa.array(at)],
+                names=["token", "node", "component", "n", "at"],
+            )
+
+    return members.mapInArrow(first, "token long, node binary, component binary, n long, at long")
+
+
+def _exact(docs: DataFrame, nodes: DataFrame, owner: DataFrame, dense: DataFrame, tried: DataFrame, percent: int) -> DataFrame | None:
+    """Links between nodes of dense regions that are not yet in one component: all of them, or None where there are none.
+
+    With a fixed order of shingles, two sets with ``common`` shingles in common share one that is at most at place size - ``common`` of both.
+    """
+    known = stored(dense.join(owner, "node", "left").withColumn("component", F.coalesce("component", "node")), "exact-known")
+    several = known.groupBy("tree", "prefix").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = stored(several.filter("low <> high").select("tree", "prefix"), "exact-regions")
+    few = several.count() <= BROADCAST_NODES
+    members = known.join(F.broadcast(several) if few else several, ["tree", "prefix"], "left_semi").select("node", "component").distinct()
+    members = stored(members, "exact-members")
+    n = members.count()
+    if not n:
+        return None
+    sets = _sets(docs, nodes, members.select("node"), n <= BROADCAST_NODES)
+    sets = stored(sets.join(F.broadcast(members) if n <= BROADCAST_NODES else members, "node"), "exact-sets", SETS_PER_TASK)
+    first = materialize(_prefixes(sets, percent), "exact-prefixes")
+    often = first.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
+    often = stored(often.filter(F.col("c") > POSTINGS), "exact-often")  # at most a row for POSTINGS of the prefixes
+    dealt = first.join(F.broadcast(often), "token", "left").filter("low IS NULL OR low <> high")
+    deals = F.ceil(F.coalesce("c", F.lit(1)) / POSTINGS)
+    dealt = dealt.select("token", "node", "component", "n", "at", deals.alias("deals"))
+    both = 100 + percent
+    short = dealt.filter(f"at + (2 * {percent} * n + {both - 1}) DIV {both} <= n").withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals"))).alias("s")
+    long = dealt.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).alias("l")
+    common = f"({percent} * (s.n + l.n) + {both - 1}) DIV {both}"
+    met = F.expr(
+        "s.token = l.token AND s.deal = l.deal AND s.component <> l.component AND (s.n < l.n OR (s.n = l.n AND s.node < l.node))"
+        f" AND s.at + {common} <= s.n AND l.at + {common} <= l.n"
+    )
+    pairs = short.join(long, met).select(F.least("s.node", "l.node").alias("a"), F.greatest("s.node", "l.node").alias("b")).distinct()
+    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "exact-pairs")
+    new = _confirmed(docs, nodes, pairs, percent)
+    return None if new.isEmpty() else new
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))

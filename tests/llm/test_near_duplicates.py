@@ -62,6 +62,27 @@ def test_group_around_one_original(spark):
     assert got(df) == brute(rows)
 
 
+def test_alike_pairs_and_stars_among_documents_with_one_long_passage(spark):
+    """All share a passage and are 0.80 alike; some pairs, and groups round several originals, are more alike and lie anywhere in the orders."""
+    rng = random.Random(11)
+
+    def own(n):
+        return [f"v{rng.randrange(10**8)}" for _ in range(n)]
+
+    passage = own(204)
+    texts = [passage + own(26) for _ in range(560)]
+    for k in range(20):
+        texts[400 + k] = texts[k][:213] + own(17)
+    for k in range(6):
+        star = passage + own(26)
+        texts += [star, *[[*star[:p], f"edit{k}x{p}", *star[p + 1 :]] for p in range(0, 200, 20)]]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = brute(rows)
+    assert 20 <= len({r[2] for r in want}) < len(rows) - 60
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+
+
 @pytest.mark.parametrize("n", [1, 60])
 def test_components_of_chains_and_stars(spark, n):
     edges = [(k, k + 1) for k in range(n)] + [(500, 500 + k) for k in range(1, 80)] + [(900, 900)]
