@@ -8,6 +8,9 @@ from tabweave.llm import decontaminate, mixing, near_duplicates, quality, token_
 from tabweave.llm.queries import tokenizer_path
 from tabweave.session import scratch_path
 
+#: Documents whose word shingles are so similar are near-duplicates to the stage; op5 has a limit of its own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -16,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return near_duplicates.one_of_each(docs)
+    return near_duplicates.one_of_each(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ PERCENT = 85
 TREES, STRIDE = 16, 8
 HASHES = TREES * STRIDE
 REACH = 8
-#: Equal signature bytes of a candidate: 3.5 standard deviations below what similarity 0.85 gives.
-AGREE = 95
+#: The chance at most that a pair just similar enough shares the depth's prefix in no tree.
+MISSED = 1e-3
 #: Of each component found so far, the nodes that stand for it, and of each region the nodes that all others there meet.
 HEADS = 8
 HUBS = 16
@@ -54,6 +54,20 @@ _A, _B = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _mult.astype
 _STEP = mix64(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
+def least_agreeing(percent: int) -> int:
+    """Equal signature bytes of a candidate: 3.5 standard deviations below what similarity ``percent`` gives."""
+    share = percent / 100
+    return max(1, round(HASHES * share - 3.5 * math.sqrt(HASHES * share * (1 - share))))
+
+
+def dense_depth(n: int, percent: int) -> int:
+    """Length of the prefix that chance explains among ``n`` nodes, or less where similar pairs would too often share none as long."""
+    depth = max(2, math.ceil(math.log(max(n, 2), 256)))
+    while depth > 1 and (1 - (percent / 100) ** depth) ** TREES > MISSED:
+        depth -= 1
+    return depth
+
+
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For each text the ascending distinct 64-bit hashes of its five-word shingles; of fewer words, of the whole sequence."""
     words, at = word_hashes(*binary_parts(column), SPACED)
@@ -117,7 +131,7 @@ PAIR, DENSE, EDGE = 0, 1, 2
 class _Order:
     """Consecutive rows of one sorted order: pairs and dense nodes among rows at most ``REACH`` apart."""
 
-    def __init__(self, tree: np.ndarray, keys: np.ndarray, nodes: list[bytes], fresh: int, depth: int):
+    def __init__(self, tree: np.ndarray, keys: np.ndarray, nodes: list[bytes], fresh: int, depth: int, agree: int):
         """Rows before ``fresh`` have met each other already."""
         self.rows: list[tuple] = []
         for w in range(1, min(REACH, len(nodes) - 1) + 1):
@@ -129,7 +143,7 @@ class _Order:
                 far = (keys[right, :depth] == keys[left, :depth]).all(axis=1)
                 for k in np.unique(np.concatenate([right[far], left[far]])).tolist():
                     self.rows.append((DENSE, nodes[k], None, int(tree[k]), keys[k, :depth].tobytes(), None, None))
-            same = (keys[right] == keys[left]).sum(axis=1) >= AGREE
+            same = (keys[right] == keys[left]).sum(axis=1) >= agree
             for i, j in zip(right[same].tolist(), left[same].tolist()):
                 a, b = sorted((nodes[i], nodes[j]))
                 self.rows.append((PAIR, a, b, None, None, None, None))
@@ -139,7 +153,7 @@ class _Order:
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
 
-def _forest(nodes: DataFrame, depth: int, rows: int) -> DataFrame:
+def _forest(nodes: DataFrame, depth: int, agree: int, rows: int) -> DataFrame:
     """Pairs, dense nodes and the edges of partitions from all sorted orders of ``nodes`` (node, signature)."""
 
     def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +167,7 @@ def _forest(nodes: DataFrame, depth: int, rows: int) -> DataFrame:
             tree = np.concatenate([tree, *[p.column("tree").to_numpy() for p in held]])
             keys = np.concatenate([keys, *[np.frombuffer(b"".join(p.column("key").to_pylist()), np.uint8).reshape(-1, HASHES) for p in held]])
             names = names + [n for p in held for n in p.column("node").to_pylist()]
-            out = _Order(tree, keys, names, fresh, depth).batch()
+            out = _Order(tree, keys, names, fresh, depth, agree).batch()
             tree, keys, names = tree[-REACH:], keys[-REACH:], names[-REACH:]
             held, size = [], 0
             return out
@@ -181,7 +195,7 @@ def _forest(nodes: DataFrame, depth: int, rows: int) -> DataFrame:
         names = table.column("a").to_pylist()
         keys = np.frombuffer(b"".join(table.column("prefix").to_pylist()), np.uint8).reshape(-1, HASHES)
         fresh = sum(p < REACH for p in table.column("place").to_pylist())
-        return pa.Table.from_batches([_Order(table.column("tree").to_numpy(), keys, names, fresh, depth).batch()])
+        return pa.Table.from_batches([_Order(table.column("tree").to_numpy(), keys, names, fresh, depth, agree).batch()])
 
     turned = [F.concat(F.expr(f"substring(signature, {t * STRIDE + 1}, {HASHES})"), F.expr(f"substring(signature, 1, {t * STRIDE})")) for t in range(TREES)]
     orders = F.array(*[F.struct(F.lit(t).alias("tree"), k.alias("key")) for t, k in enumerate(turned)])
@@ -241,13 +255,13 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int
     return stored(two.mapInArrow(confirm, "a binary, b binary"), "near-links")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, agree: int) -> DataFrame:
     """Pairs (a, b, signatures x and y) whose signatures agree enough."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("x", "y"))
-            yield part.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+            yield part.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
 
     return pairs.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -262,8 +276,8 @@ def near_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node")
     nodes = stored(nodes.agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("signature").alias("signature")), "near-nodes")
     n = nodes.count()
-    depth = max(2, math.ceil(math.log(max(n, 2), 256)))
-    found = _forest(nodes.select("node", "signature"), depth, n)
+    depth = dense_depth(n, percent)
+    found = _forest(nodes.select("node", "signature"), depth, least_agreeing(percent), n)
     tried = stored(_pairs(found), "near-pairs")
     links = _confirmed(docs, nodes, tried, percent)
     owner = components(links)
@@ -300,8 +314,8 @@ def _deeper(docs: DataFrame, nodes: DataFrame, links: DataFrame, owner: DataFram
     hubs = hubs.select("tree", "prefix", F.col("node").alias("hub"), F.col("signature").alias("y"))
     star = regions.join(hubs, ["tree", "prefix"]).filter("node <> hub")
     star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("signature").alias("x"), "y")
-    again = _pairs(_forest(heads.select("node", "signature"), depth, heads.count()))
-    pairs = _agreeing(star).unionByName(again).distinct().join(tried, ["a", "b"], "left_anti")
+    again = _pairs(_forest(heads.select("node", "signature"), depth, least_agreeing(percent), heads.count()))
+    pairs = _agreeing(star, least_agreeing(percent)).unionByName(again).distinct().join(tried, ["a", "b"], "left_anti")
     pairs = stored(pairs, "dense-pairs")
     new = _confirmed(docs, nodes, pairs, percent)
     return None if new.isEmpty() else (new, pairs)

@@ -83,6 +83,23 @@ def test_alike_pairs_and_stars_among_documents_with_one_long_passage(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
 
 
+def test_lower_limits_widen_the_search():
+    assert nd.least_agreeing(85) == 95 and nd.least_agreeing(80) == 87 and nd.least_agreeing(50) <= 45
+    assert nd.dense_depth(10**5, 85) == 3 and nd.dense_depth(10**5, 50) == 1
+
+
+def test_pairs_just_above_a_low_limit(spark):
+    """Fewer of their signature bytes agree than of a pair at 0.85."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(120):
+        base = [f"u{rng.randrange(10**8)}" for _ in range(104)]
+        texts += [base, [*base[:74], *[f"z{rng.randrange(10**8)}" for _ in range(30)]]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 53).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k // 2 * 2 for k in range(240)}
+
+
 @pytest.mark.parametrize("n", [1, 60])
 def test_components_of_chains_and_stars(spark, n):
     edges = [(k, k + 1) for k in range(n)] + [(500, 500 + k) for k in range(1, 80)] + [(900, 900)]

@@ -80,6 +80,13 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, folder):
     assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:k]) for k in range(len(ordered))]
 
 
+def test_near_dedup_takes_copies_of_similarity_080(spark, tmp_path):
+    words = [f"word{k}" for k in range(104)]
+    near = [*words[:94], *[f"other{k}" for k in range(10)]]  # 90 of 110 shingles in common
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_run_writes_each_stage(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 50
 
