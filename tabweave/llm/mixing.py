@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.operators.folds import numbered
-from tabweave.session import materialize
+from tabweave.session import materialize, scratch_path
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 BLOCK_WORDS = 65_536
 SHARDS = 16
+#: Words of a shard that one task sorts.
+TASK_WORDS = 8_000_000
 #: More blocks than this in all make the blocks larger: the draw works on counts below 10 ** 9.
 MOST_BLOCKS = 1 << 28
 _PRIME = 2_147_483_647
@@ -52,6 +54,15 @@ def _weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return ranked.select("source", "source_size", pick.alias("weight"))
 
 
+def _alike(*key: str) -> Window:
+    """Rows of equal key; they are the same in all that counts, so their order is free."""
+    return Window.partitionBy(*key).orderBy(F.lit(0))
+
+
+def _deals(words: int, shards: int) -> int:
+    return max(1, -(-words // (shards * TASK_WORDS)))
+
+
 def _targets(sources: DataFrame, most_times: int) -> DataFrame:
     """Shares of all words by weight; a source's target stops at ``most_times`` its size and the excess is shared again.
 
@@ -125,8 +136,9 @@ def mix(
     """Mix ``docs`` (doc_id, source, text): shares of all words by the sources' weights.
 
     ``sizes`` has a row for each row of ``docs``: doc_id, text_hash, source, size, source_size, target (of its source) and taken
-    (words of it in the mix, repeats counted). ``parts`` has a row for each time the mix takes a document: shard, position,
-    doc_id, text_hash, source, copy and words (less than its size where the target cuts it). A text without words has size
+    (words of it in the mix, repeats counted, summed from the shards as written). ``parts`` has a row for each time the mix takes a
+    document: shard, position, doc_id, text_hash, source, nth (among rows that repeat these), copy and words (less than its size where
+    the target cuts it); each shard is a folder of files in the order of :func:`shard_order`. A text without words has size
     0 and is never taken; a null source is a source, last in order. Rows that repeat id and text are documents of their
     own, in the same block. Other columns are ignored. A table without rows gives none.
     """
@@ -137,6 +149,7 @@ def mix(
         word_count(F.col("text").cast("string")).alias("size"),
     )
     sized = sized.withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
+    sized = sized.withColumn("nth", F.row_number().over(_alike("doc_id", "text_hash", "source_key")))
     sized = materialize(sized.withColumn("deal", F.xxhash64("doc_id", "text_hash", F.lit(seed))), "mix-sizes")
     totals = sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
     sources = materialize(totals, "mix-sources")
@@ -162,7 +175,7 @@ def mix(
     filled = materialize(filled.withColumn("room", F.col("rest") - F.col("before")), "mix-filled")
     # the block that the target cuts: word offsets inside it; it holds about block_words words, so a window over it is small
     cut = filled.filter("room > 0 AND room < words").select("source_key", "block", "room")
-    inside = Window.partitionBy("source_key", "block").orderBy("deal", "doc_id", "text_hash")
+    inside = Window.partitionBy("source_key", "block").orderBy("deal", "doc_id", "text_hash", "nth")
     partial = keyed.join(cut, ["source_key", "block"]).withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     partial = partial.withColumn("words", F.least("size", F.greatest(F.lit(0).cast("long"), F.col("room") - F.coalesce("before", F.lit(0)))))
     # a taken block for each round, and one more where the rest reaches it
@@ -178,36 +191,47 @@ def mix(
     copies = copies.join(quotas, "source_key").withColumn("slot", (number * F.lit(_PRIME).cast("long") + F.pmod("source_key", F.lit(1 << 30))) % F.col("n"))
     placed = copies.select("source_key", "block", "copy", "slot", ((F.col("copy") > F.col("rounds")) & (F.col("room") < F.col("words"))).alias("is_cut"))
     placed = materialize(placed.join(slots.select("source_key", "slot", "shard"), ["source_key", "slot"]), "mix-placed")
-    return _assembled(sized, sources, keyed, partial, placed, seed)
+    return _assembled(sized, sources, keyed, partial, placed, seed, shards, _deals(words, shards))
 
 
-def _assembled(sized: DataFrame, sources: DataFrame, keyed: DataFrame, partial: DataFrame, placed: DataFrame, seed: int) -> Mix:
+def _assembled(sized: DataFrame, sources: DataFrame, keyed: DataFrame, partial: DataFrame, placed: DataFrame, seed: int, shards: int, deals: int) -> Mix:
     key = ["source_key", "block"]
     full = keyed.join(placed.filter("NOT is_cut"), key).withColumn("words", F.col("size"))
     some = partial.filter("words > 0").join(placed.filter("is_cut"), key)
-    columns = ["shard", "doc_id", "text_hash", "source", "copy", "words", "deal"]
+    columns = ["shard", "doc_id", "text_hash", "source", "copy", "words", "deal", "nth"]
     parts = full.select(*columns).unionByName(some.select(*columns))
     parts = parts.withColumn("position", F.xxhash64("deal", "copy", F.lit(seed))).drop("deal")
-    # what each row gives: whole rounds from its source, and its part of the rest from its block
-    rest = partial.select(*key, "deal", "doc_id", "text_hash", "size", "words", F.col("room"))
-    times = placed.filter("NOT is_cut").groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
-    base = keyed.join(times, key, "left").withColumn("base", F.coalesce("times", F.lit(0)) * F.col("size"))
-    cut_blocks = placed.filter("is_cut").select(*key).distinct()
-    calm = base.join(cut_blocks, key, "left_anti").select("doc_id", "text_hash", "source_key", "size", F.col("base").alias("taken"))
-    rounds = sources.select("source_key", "rounds")
-    edge = rest.join(rounds, "source_key").select(
-        "doc_id", "text_hash", "source_key", "size", (F.col("rounds") * F.col("size") + F.col("words")).cast("long").alias("taken")
-    )
-    empty = sized.filter("size = 0").select("doc_id", "text_hash", "source_key", "size", F.lit(0).cast("long").alias("taken"))
-    rows = calm.unionByName(edge).unionByName(empty)
+    parts = _written(parts, shards, deals)
+    # what the shards hold says what each row gives
+    key = [F.col(c) for c in ("doc_id", "text_hash", "source", "nth")]
+    held = parts.groupBy(*key).agg(F.sum("words").alias("taken")).select(*[c.alias(f"p_{k}") for k, c in enumerate(key)], "taken")
+    same = [c.eqNullSafe(held[f"p_{k}"]) for k, c in enumerate(key)]
+    rows = sized.join(held, same, "left").select("doc_id", "text_hash", "source_key", "size", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     about = sources.select("source_key", "source", "source_size", "target")
-    sizes = rows.join(about, "source_key").select("doc_id", "text_hash", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    sizes = rows.join(about, "source_key").select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken")
     return Mix(sizes, parts)
 
 
+def in_order(parts: DataFrame, shards: int, deals: int) -> DataFrame:
+    """Rows of shards (shard, position, doc_id, copy, nth) in ``shards * deals`` partitions, which hold the shards one after the other, each in its order.
+
+    Positions are hashes, so equal stretches of them hold about equally many rows.
+    """
+    stretch = F.floor((F.shiftright("position", 32) + (1 << 31)) * deals / (1 << 32))
+    dealt = parts.repartitionById(shards * deals, (F.col("shard") * deals + stretch).cast("int"))
+    return dealt.sortWithinPartitions("shard", *shard_order())
+
+
+def _written(parts: DataFrame, shards: int, deals: int) -> DataFrame:
+    """``parts`` written to a folder for each shard, in order, and read back."""
+    path = scratch_path(parts.sparkSession, "mix-shards")
+    in_order(parts, shards, deals).write.partitionBy("shard").parquet(path)
+    return parts.sparkSession.read.schema(parts.schema).parquet(path)
+
+
 def shard_order() -> list[Column]:
-    """How the rows of a shard lie: a shuffle by hash, ties by id and copy."""
-    return [F.col("position"), F.col("doc_id"), F.col("copy")]
+    """How the rows of a shard lie: a shuffle by hash, ties by id, copy and number among equal rows."""
+    return [F.col("position"), F.col("doc_id"), F.col("copy"), F.col("nth")]
 
 
 def first_words(text: Column, words: Column) -> Column:
@@ -217,7 +241,10 @@ def first_words(text: Column, words: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, one row for each time the mix takes one, cut where the target cuts it."""
+    """The documents of the mix with all their columns, one row for each time the mix takes one, cut where the target cuts it.
+
+    They lie in the order of the shards, and inside a shard in its order.
+    """
     made = mix(docs, **options)
     text = F.col("text").cast("string")
     source = F.col("source").cast("string")
@@ -225,11 +252,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         {"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text), "__source": F.xxhash64(source, source.isNull()), "__size": word_count(text)}
     )
     # rows that repeat id, text and source are one key: each of their parts is met by one of them
-    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__hash", "__source").orderBy("__size")))
+    keyed = keyed.withColumn("__nth", F.row_number().over(_alike("__id", "__hash", "__source")))
     parts = made.parts.select(
-        F.col("doc_id").alias("__p_id"), F.col("text_hash").alias("__p_hash"), F.xxhash64("source", F.col("source").isNull()).alias("__p_source"), F.col("copy").alias("__copy"), F.col("words").alias("__words")
+        F.col("doc_id").alias("__p_id"), F.col("text_hash").alias("__p_hash"), F.xxhash64("source", F.col("source").isNull()).alias("__p_source"), F.col("nth").alias("__p_nth"), F.col("copy").alias("__copy"), F.col("words").alias("__words"),
+        F.struct("shard", "position", "doc_id", "copy", "nth").alias("__at"),
     )
-    parts = parts.withColumn("__p_nth", F.row_number().over(Window.partitionBy("__p_id", "__p_hash", "__p_source", "__copy").orderBy(F.desc("__words"))))
     met = F.col("__id").eqNullSafe(F.col("__p_id")) & (F.col("__hash") == F.col("__p_hash")) & (F.col("__source") == F.col("__p_source")) & (F.col("__nth") == F.col("__p_nth"))
     cut = F.when(F.col("__words") < F.col("__size"), first_words(text, F.col("__words"))).otherwise(text)
-    return keyed.join(parts, met).withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed.join(parts, met).withColumn("text", cut).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "__at.*")
+    shards = options.get("shards", SHARDS)
+    words = made.sizes.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("n")).first().n
+    return in_order(rows, shards, _deals(words, shards)).select("row.*")

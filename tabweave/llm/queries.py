@@ -88,7 +88,7 @@ from steps group by conv_id
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    # what the shards hold, written and counted again, beside what the rows say
+    # taken is summed from the shards as written and read back
     return made.sizes.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -59,6 +59,34 @@ def test_reruns_and_partitions_agree(corpus):
     assert one == sorted(map(repr, mixing.mix(corpus.repartition(7)).parts.collect()))
 
 
+def test_taken_is_what_the_written_shards_hold(corpus, monkeypatch):
+    tree = mixing._tree
+    monkeypatch.setattr(mixing, "_tree", lambda *a: tree(*a).filter("shard <> 1"))
+    made = mixing.mix(corpus, block_words=500, shards=5)
+    held, taken = made.parts.agg(F.sum("words")).first()[0], made.sizes.agg(F.sum("taken")).first()[0]
+    assert taken == held < 0.9 * made.sizes.agg(F.sum("size")).first()[0]
+
+
+def order(r):
+    return r.shard, r.position, r.doc_id, r.copy, r.nth
+
+
+def test_shards_are_written_and_emitted_in_their_order(spark, corpus):
+    parts = mixing.mix(corpus, block_words=500, shards=5).parts
+    files = sorted(parts.inputFiles(), key=lambda f: (re.search(r"shard=(\d+)/", f)[1], f))
+    rows = [r for f in files for r in parts.filter(F.input_file_name() == f).collect()]
+    assert rows == sorted(parts.collect(), key=order) and {r.shard for r in rows} == set(range(5))
+    mixed = mixing.mixed_documents(corpus, block_words=500, shards=5).collect()
+    assert [(r.doc_id, count(r.text)) for r in mixed] == [(r.doc_id, r.words) for r in rows]
+
+
+def test_rows_that_repeat_are_taken_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 5 + [(2, "d e f g", "y")], "doc_id long, text string, source string")
+    made = mixing.mix(docs, block_words=4, shards=2)
+    assert made.sizes.count() == 6
+    assert made.sizes.agg(F.sum("taken")).first()[0] == made.parts.agg(F.sum("words")).first()[0] == 19
+
+
 def test_edges_and_columns(docs, none):
     made = mixing.mixed_documents(docs, shards=2)
     assert made.columns == docs.columns
