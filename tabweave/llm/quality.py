@@ -123,10 +123,11 @@ def _distance(p: Column, q: list[float]) -> Column:
 def _repeated(words: Column) -> Column:
     """Words that lie in three-word windows which occur twice or more.
 
-    A window is its hash with its place in the low bits, so one sort of plain numbers puts equal windows side by side.
+    A window is its hash with its place in the low bits, so one sort of plain numbers puts equal windows side by side. Windows whose
+    hashes meet are compared by their words, so what hash bits are left doesn't matter.
     """
     n = F.size(words)
-    bits = F.when(n < 256, 8).when(n < 4096, 12).when(n < 65536, 16).when(n < 1048576, 20).otherwise(31)
+    bits = F.length(F.bin(n.cast("long")))
 
     def windows(b: Column) -> Column:
         first = F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0)))
@@ -139,11 +140,17 @@ def _repeated(words: Column) -> Column:
 
         again = F.filter(s, lambda x, j: (top(x) == top(F.get(s, j - 1))) | (top(x) == top(F.get(s, j + 1))))
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
-        return F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask)))
+        return F.transform(again, lambda x: x.bitwiseAND(mask).cast("int"))
+
+    def equal(found: Column) -> Column:
+        # no word holds a space, so joined words are equal only if the words are
+        named = F.sort_array(F.transform(found, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, F.lit(3))).alias("w"), i.alias("i"))))
+        again = F.transform(F.array(named), lambda s: F.filter(s, lambda x, j: F.coalesce(x["w"] == F.get(s, j - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(s, j + 1)["w"], F.lit(False))))[0]
+        return F.sort_array(F.transform(again, lambda x: x["i"].cast("long")))
 
     start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
     sorted_ = F.transform(F.array(bits), lambda b: F.struct(b.alias("b"), windows(b).alias("s")))
-    placed = F.transform(sorted_, lambda x: places(x["b"], x["s"]))[0]
+    placed = equal(F.transform(sorted_, lambda x: places(x["b"], x["s"]))[0])
     return F.aggregate(placed, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n")))["n"]
 
 

@@ -27,6 +27,14 @@ def test_base_columns_equal_brute_force(spark, docs):
     assert got == sorted(((r.doc_id, *base(r.text)) for r in rows.collect()), key=repr)
 
 
+def test_a_long_text_has_no_false_repeats(spark):
+    words = [f"{k:x}" for k in range((1 << 20) + 20_000)]
+    words[700_000:700_004] = words[10:14]
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    assert q.judged(docs, {}).first().n_repeat_words == base(text)[4] == 8
+
+
 def distance(p, r):
     p = [x / sum(p) for x in p]
     return math.sqrt(sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, r)) / 2)
