@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import chat, decontaminate, line_dedup, mixing, near_duplicates, quality, simhash, token_files, toxicity, urls, warc
+from tabweave.llm import chat, decontaminate, line_dedup, mixing, near_duplicates, quality, simhash, spelling, token_files, toxicity, urls, warc
 from tabweave.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -161,6 +161,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, written).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -176,6 +180,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op12_spelling": op12_spelling,
     "op13_simhash": op13_simhash,
 }
 ORACLES = {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op4_warc": OP4_SQL, "op5_near_duplicates": OP5_SQL}
