@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import chat, decontaminate, line_dedup, mixing, near_duplicates, quality, simhash, spelling, token_files, toxicity, urls, warc
+from tabweave.llm import chat, decontaminate, line_dedup, mixing, near_duplicates, quality, simhash, spelling, token_files, toxicity, urls, warc, whitening
 from tabweave.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -161,6 +161,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, written).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    # the operator's deviation is a decimal; beyond a long's range the query has null
+    return whitening.whiten(vectors).withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -180,6 +186,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_whitening": op11_whitening,
     "op12_spelling": op12_spelling,
     "op13_simhash": op13_simhash,
 }
