@@ -329,6 +329,26 @@ def target_encoding(spark, sf_dir):
     return round_columns(categorical.apply_encoders(test, spec, lookups), 6)
 
 
+@register(
+    "WITH t AS (SELECT p_partkey, p_partkey % 5 AS fold, p_brand, p_retailprice AS y FROM part), "
+    "own AS (SELECT p_brand, fold, count(*) AS n, sum(y) AS s FROM t GROUP BY 1, 2), "
+    "total AS (SELECT p_brand, count(*) AS n, sum(y) AS s FROM t GROUP BY 1), "
+    "folds AS (SELECT f.fold, avg(t.y) AS mean FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold GROUP BY 1) "
+    f"SELECT p_partkey, y AS p_retailprice, {sql_round('coalesce((total.s - own.s) / nullif(total.n - own.n, 0), folds.mean)', 6)} AS p_brand_target_encoded, "
+    f"{sql_round('total.s / total.n', 6)} AS scored "
+    "FROM t JOIN own USING (p_brand, fold) JOIN total USING (p_brand) JOIN folds USING (fold)"
+)
+def target_encoding_folds(spark, sf_dir):
+    """Training rows by the other folds, and the same rows as a later table would be scored."""
+    train = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    fold = F.col("p_partkey") % 5
+    spec, lookups = categorical.fit_encoders(train, Roles("p_retailprice", ("p_partkey",)), fold=fold)
+    made = categorical.apply_encoders(train, spec, lookups, fold, "p_retailprice")
+    later = categorical.apply_encoders(train.drop("p_retailprice"), spec, categorical.without_folds(lookups))
+    both = made.join(later.select("p_partkey", F.col("p_brand_target_encoded").alias("scored")), "p_partkey")
+    return round_columns(both, 6, ["p_brand_target_encoded", "scored"])
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

@@ -51,9 +51,9 @@ class AutoTable:
     topic_modeling: bool = True
     dimensionality_reduction: bool = True
     exact: bool = True
-    max_interaction_columns: int = 20
     parallelism: int = 4
     partitions: int | None = None
+    target_folds: int = 0
     params: dict | None = None
 
     def __post_init__(self):
@@ -91,9 +91,9 @@ class AutoTable:
             self.handle_missing,
             self.encode_categorical,
             self.exact,
-            self.max_interaction_columns,
             late,
             self.partitions,
+            self.target_folds,
         )
         return plan, text_plan, plan.vectorize(_dense(data, text_plan), vectors)
 

@@ -9,32 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.quantiles import quantiles
+from tabweave.operators import pairs
+from tabweave.operators.pairs import product, ratio
 from tabweave.operators.profile import ColumnProfile, profile
 from tabweave.plans.roles import Roles, col, numeric_columns
 
-RATIO_SHIFT = 1e-8
 BINS = 5
 BIN_DISTINCT_ABOVE = 10
 LOG_SKEW_ABOVE = 1.0
-MAX_INTERACTION_COLUMNS = 20
 EQUAL_WIDTH_SLACK = 0.001
 
 
-def product(a: str, b: str) -> Column:
-    return (col(a).cast("double") * col(b).cast("double")).alias(f"{a}_x_{b}")
-
-
-def ratio(a: str, b: str) -> Column:
-    return F.try_divide(col(a).cast("double"), col(b).cast("double") + RATIO_SHIFT).alias(f"{a}_div_{b}")
-
-
-def pairwise(columns: list[str], limit: int = MAX_INTERACTION_COLUMNS) -> list[Column]:
+def pairwise(columns: list[str]) -> list[Column]:
     """Product and ratio of every pair, as one projection."""
-    if len(columns) > limit:
-        raise ValueError(
-            f"{len(columns)} numeric columns make {len(columns) * (len(columns) - 1)} pair features; "
-            f"raise max_interaction_columns above {limit} to allow that"
-        )
     out = []
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
@@ -122,17 +109,15 @@ def fit_numeric(
     roles: Roles,
     profiles: dict[str, ColumnProfile] | None = None,
     exact: bool = True,
-    max_interaction_columns: int = MAX_INTERACTION_COLUMNS,
     encoded_target: bool = False,
 ) -> dict:
-    """Choose bins, logs and row statistics from the profile and the quantiles.
+    """Choose bins, logs and row statistics from the profile and the quantiles; "pairs" is None for all pairs.
 
     Row statistics need more than two numeric columns. The target counts, unless its numbers are encoded classes.
     """
     columns = numeric_columns(df, roles.features(df))
     everything = [c for c in numeric_columns(df) if not (encoded_target and c == roles.target)]
     profiles = profiles or profile(df, columns, exact=exact)
-    pairwise(columns, max_interaction_columns)
     binned = [c for c in columns if profiles[c].distinct > BIN_DISTINCT_ABOVE]
     edges = quantile_edges(df, binned, exact=exact)
     logs = [
@@ -146,15 +131,32 @@ def fit_numeric(
     return {
         "op": "numeric",
         "columns": columns,
-        "pair_limit": max_interaction_columns,
+        "pairs": None,
         "bins": edges,
         "logs": logs,
         "row_statistics": columns if len(everything) > 2 else [],
     }
 
 
+def fit_pairs(df: DataFrame, columns: list[str], drop) -> tuple[list[list[str]], dict[str, ColumnProfile]]:
+    """Pair features that ``drop``, a rule on a column's profile, leaves, and the profiles of all, by name.
+
+    Of features with one name the first counts; a name that the frame has already is no feature.
+    """
+    kept, known, seen = [], {}, set(df.columns)
+    for key, p in pairs.profile_pairs(df, columns).items():
+        name = pairs.name_of(key)
+        if name in seen:
+            continue
+        seen.add(name)
+        known[name] = p
+        if drop(p) is None:
+            kept.append(list(key))
+    return kept, known
+
+
 def apply_numeric(df: DataFrame, spec: dict) -> DataFrame:
-    out = pairwise(spec["columns"], spec["pair_limit"])
+    out = pairwise(spec["columns"]) if spec["pairs"] is None else [pairs.column(tuple(k)) for k in spec["pairs"]]
     for c in spec["columns"]:
         if c in spec["bins"]:
             out.append(bin_index(col(c), spec["bins"][c]).alias(f"{c}_bin"))

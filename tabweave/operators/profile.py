@@ -13,6 +13,9 @@ from tabweave.plans.roles import col, is_numeric
 SKETCH_LOG_SIZE = 14
 """2^14 registers: a standard error of 0.8 %, and exact counts of small sets."""
 NEAR = 0.03
+SURELY_NEAR = 0.05
+"""For decisions that have to be exact: six standard errors."""
+COLUMNS_TOGETHER = 200
 CARDINALITY_LIMITS = (1, 10, 15)
 NEAR_UNIQUE = 0.9
 
@@ -87,30 +90,33 @@ def _summary(df: DataFrame, columns: list[str], sketch: bool, moments: bool = Tr
     return aggs
 
 
-def _near_threshold(distinct: int, rows: int) -> bool:
+def _near_threshold(distinct: int, rows: int, near: float) -> bool:
     limits = [*CARDINALITY_LIMITS, NEAR_UNIQUE * rows]
-    return any(abs(distinct - t) <= max(1.0, NEAR * t) for t in limits)
+    return any(abs(distinct - t) <= max(1.0, near * t) for t in limits)
 
 
 def profile(
-    df: DataFrame, columns: list[str] | None = None, exact: bool = False, moments: bool = True
+    df: DataFrame, columns: list[str] | None = None, exact: bool = False, moments: bool = True, near: float = NEAR
 ) -> dict[str, ColumnProfile]:
-    """Profile columns in one scan; exact distinct counts only where a decision hangs on them.
+    """Profile columns in one scan for ``COLUMNS_TOGETHER``; exact distinct counts only where a decision hangs on them.
 
     Distinct counts come from a sketch. A column whose estimate lies near a decision limit
-    (1, 10, 15 values or 90 % of the rows) is counted exactly in a second, narrow pass; with
+    (1, 10, 15 values or 90 % of the rows), by the share ``near``, is counted exactly in a second, narrow pass; with
     ``exact`` all columns are. Without ``moments`` minimum and skew are left out.
     """
     columns = df.columns if columns is None else list(columns)
     if not columns:
         return {}
+    if len(columns) > COLUMNS_TOGETHER:
+        parts = [columns[k : k + COLUMNS_TOGETHER] for k in range(0, len(columns), COLUMNS_TOGETHER)]
+        return {c: p for part in parts for c, p in profile(df, part, exact, moments, near).items()}
     row = df.agg(*_summary(df, columns, not exact, moments)).first().asDict()
     rows = row["rows"]
     if exact:
         known = distinct_counts(df, columns)
     else:
         known = {c: row[f"d{i}"] for i, c in enumerate(columns)}
-        doubtful = [c for c in columns if _near_threshold(known[c], rows)]
+        doubtful = [c for c in columns if _near_threshold(known[c], rows, near)]
         if doubtful:
             known |= distinct_counts(df, doubtful)
     return {

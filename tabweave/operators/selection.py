@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.operators import gram
 from tabweave.plans.roles import col
 
 CORRELATION_LIMIT = 0.95
 SELECT_ABOVE = 30
 KEEP_SHARE = 0.8
 KEEP_AT_LEAST = 30
-MAX_DENSE_COLUMNS = 4096
 
 
 def assemble(df: DataFrame, columns: list[str], others: list[str] = (), output: str = "features") -> DataFrame:
@@ -30,26 +32,14 @@ def assemble(df: DataFrame, columns: list[str], others: list[str] = (), output:
     return made.select(*[col(c) for c in others], output)
 
 
-def check_width(columns: list[str]) -> None:
-    if len(columns) > MAX_DENSE_COLUMNS:
-        raise ValueError(
-            f"{len(columns)} columns need a {len(columns)} x {len(columns)} matrix on the driver; "
-            f"the limit is {MAX_DENSE_COLUMNS}"
-        )
-
-
-def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson correlations from one distributed Gram matrix; only the d x d result is read."""
-    check_width(columns)
-    return Correlation.corr(assemble(df, columns), "features").first()[0].toArray()
-
+def fit_correlation_prune(df: DataFrame, columns: list[str], limit: float = CORRELATION_LIMIT, block: int = gram.BLOCK) -> list[str]:
+    """Columns correlated above the limit with any earlier one, kept or not.
 
-def fit_correlation_prune(df: DataFrame, columns: list[str], limit: float = CORRELATION_LIMIT) -> list[str]:
-    """Columns correlated above the limit with any earlier one, kept or not."""
+    Correlations are a table of blocks; only the names found are read.
+    """
     if len(columns) < 2:
         return []
-    strong = np.abs(correlation_matrix(df, columns)) > limit
-    return [c for j, c in enumerate(columns) if strong[:j, j].any()]
+    return gram.Gram(df, columns, block).strong_columns(limit)
 
 
 def anova_scores(df: DataFrame, columns: list[str], target: str) -> dict[str, float]:
@@ -88,23 +78,57 @@ def anova_scores(df: DataFrame, columns: list[str], target: str) -> dict[str, fl
     return out
 
 
+_MOMENTS = "i int, n double, mx double, my double, xx double, yy double, xy double"
+
+
+def _merged(parts: np.ndarray) -> np.ndarray:
+    """Counts, means and centred sums (n, mx, my, xx, yy, xy) of several sets of rows together; ``parts`` is sets x columns x 6."""
+    n = parts[..., 0]
+    total = n.sum(axis=0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mx, my = ((n * parts[..., k]).sum(axis=0) / total for k in (1, 2))
+    dx, dy = parts[..., 1] - mx, parts[..., 2] - my
+    out = [total, mx, my, *((parts[..., k] + n * u * v).sum(axis=0) for k, u, v in ((3, dx, dx), (4, dy, dy), (5, dx, dy)))]
+    return np.nan_to_num(np.stack(out, axis=-1), nan=0.0, posinf=np.inf, neginf=-np.inf)
+
+
 def regression_scores(df: DataFrame, columns: list[str], target: str) -> dict[str, float]:
-    """Regression F of each column, r^2 / (1 - r^2) * (n - 2)."""
-    y = col(target).cast("double")
-    out = {}
-    for start in range(0, len(columns), 50):
-        part = columns[start : start + 50]
-        row = (
-            df.where(y.isNotNull())
-            .agg(F.count(F.lit(1)).alias("n"), *[F.corr(col(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(part)])
-            .first()
-        )
-        for i, c in enumerate(part):
-            r = row[f"r{i}"]
-            if r is None or math.isnan(r):
-                out[c] = math.nan
-            else:
-                out[c] = r * r / (1 - r * r) * (row["n"] - 2) if r * r < 1 else math.inf
+    """Regression F of each column, r^2 / (1 - r^2) * (n - 2), n the rows with a target; one scan for all columns.
+
+    A column's r takes the rows where it is not null. Centred sums are merged from batch to batch and from task to task.
+    """
+    names = [*columns, target]
+    values = F.array(*[col(c).cast("double") for c in names])
+    rows = df.where(col(target).isNotNull()).select(values.alias("v"))
+    d = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, 6))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d + 1)  # null is NaN
+            known = ~np.isnan(v[:, :d]) & ~np.isnan(v[:, d:])
+            n = known.sum(axis=0)
+            x, y = np.where(known, v[:, :d], 0.0), np.where(known, v[:, d:], 0.0)
+            mx, my = x.sum(axis=0) / np.maximum(n, 1), y.sum(axis=0) / np.maximum(n, 1)
+            x, y = np.where(known, x - mx, 0.0), np.where(known, y - my, 0.0)
+            part = np.stack([n, mx, my, (x * x).sum(axis=0), (y * y).sum(axis=0), (x * y).sum(axis=0)], axis=-1)
+            total = _merged(np.stack([total, part]))
+        yield pa.record_batch([pa.array(range(d), pa.int32()), *[pa.array(total[:, k]) for k in range(6)]], names=["i", "n", "mx", "my", "xx", "yy", "xy"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = np.stack([table.column(k).to_numpy() for k in range(1, 7)], axis=-1)[:, None, :]
+        total = _merged(parts)[0]
+        return pa.table([table.column("i")[:1], *[pa.array([v]) for v in total]], names=table.column_names)
+
+    found = rows.mapInArrow(run, _MOMENTS).groupBy("i").applyInArrow(merge, _MOMENTS).collect()  # a row a column
+    n = rows.count()
+    out = dict.fromkeys(columns, math.nan)
+    for s in found:
+        if s["xx"] > 0 and s["yy"] > 0:
+            r = s["xy"] ** 2 / (s["xx"] * s["yy"])
+            out[columns[s["i"]]] = r / (1 - r) * (n - 2) if r < 1 else math.inf
     return out
 
 

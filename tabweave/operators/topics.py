@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tabweave.operators.selection import MAX_DENSE_COLUMNS
 from tabweave.plans.roles import col
 
 TOPICS = 10
 TOPICS_FROM_TERMS = 50
 TOPIC_ROUNDS = 20
 COMPONENTS = 100
+DENSE_TERMS = 4096
 SEED = 42
 
 
@@ -59,7 +59,7 @@ def fit_svd(df: DataFrame, vectors: str, terms: int, components: int) -> tuple[n
     iterative solver is used, which needs a pass per step. Signs are fixed by the largest loading.
     """
     rows = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(col(vectors)), vectors))
-    if terms <= MAX_DENSE_COLUMNS:
+    if terms <= DENSE_TERMS:
         values, basis = np.linalg.eigh(rows.computeGramianMatrix().toArray())
         order = np.argsort(values)[::-1][:components]
         singular, basis = np.sqrt(np.maximum(values[order], 0.0)), basis[:, order]

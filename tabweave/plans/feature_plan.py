@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tabweave.operators import categorical, dates, missing, numeric, pca, prune, scaling, selection
 from tabweave.operators.lookup import Lookup
-from tabweave.operators.profile import profile
+from tabweave.operators.profile import NEAR, SURELY_NEAR, ColumnProfile, profile
 from tabweave.plans.roles import KEPT_TARGET, Roles, col, is_numeric, is_string, normalize, numeric_columns, string_columns
 from tabweave.session import materialize
 
@@ -168,14 +168,15 @@ def fit_plan(
     handle_missing: bool = True,
     encode_categorical: bool = True,
     exact: bool = True,
-    max_interaction_columns: int = numeric.MAX_INTERACTION_COLUMNS,
     late: tuple[str, ...] = (),
     partitions: int | None = None,
+    target_folds: int = 0,
 ) -> tuple[FeaturePlan, DataFrame]:
     """Fit all steps in order and return the plan with the transformed training rows.
 
     ``partitions``, if given, is how many pieces the training rows are dealt into first, for tables in few files; results
-    don't depend on it. ``late`` names numeric columns, such as text statistics, that join after encoding. The
+    don't depend on it. With ``target_folds``, training rows get target means of the other folds, dealt by a hash of their
+    columns without the target; rows to score get those of all. ``late`` names numeric columns, such as text statistics, that join after encoding. The
     encoded frame is written once to the shared folder: later statistics and every search fit
     read it instead of deriving it again.
     """
@@ -200,12 +201,16 @@ def fit_plan(
     flags = [c for c in roles.features(df) if isinstance(df.schema[c].dataType, T.BooleanType)]
     df = booleans_to_numbers(plan.encode_target(df), roles)
     early = Roles(roles.target, (*roles.keep, *late, *flags), roles.text)
+    # only decisions hang on these profiles: what is near a limit is counted, exactly
+    near = SURELY_NEAR if exact else NEAR
+    pairs: dict[str, ColumnProfile] = {}
 
     if feature_engineering:
         names = [c for c in early.features(df) if c in numeric_columns(df) or c in string_columns(df)]
-        found = profile(df, names, exact=exact)
+        found = profile(df, names, near=near)
         numbers = {c: found[c] for c in numeric_columns(df, names)}
-        steps["numeric"] = numeric.fit_numeric(df, early, numbers, exact, max_interaction_columns, named)
+        steps["numeric"] = numeric.fit_numeric(df, early, numbers, exact, named)
+        steps["numeric"]["pairs"], pairs = numeric.fit_pairs(df, steps["numeric"]["columns"], prune.prune_reason)
         strings = string_columns(df, names)
         plan.lookups |= {f"freq:{c}": v for c, v in categorical.fit_lookups(df, strings).items()}
         steps["rare"] = [c for c in strings if found[c].distinct > categorical.RARE_DISTINCT_ABOVE]
@@ -215,19 +220,26 @@ def fit_plan(
         steps["dates"] = {"op": "dates", "columns": native, "parts": []}
     df = plan._construct(df)
 
-    found = profile(df, early.features(df), exact=exact, moments=False)
+    found = profile(df, [c for c in early.features(df) if c not in pairs], moments=False, near=near) | pairs
     reasons = prune.fit_prune(found)
     steps["reasons"] = reasons
     steps["pruned"] = sorted(reasons)
     df = prune.drop_columns(df, reasons)
     if handle_missing:
-        shares = {c: p.null_share for c, p in found.items()}
+        shares = {c: p.null_share for c, p in found.items()}  # dropped pair features are no columns
         steps["missing"] = missing.fit_missing(df, early, exact, shares)
         df = missing.apply_missing(df, steps["missing"])
     if encode_categorical:
-        steps["encode"], lookups = categorical.fit_encoders(df, early, exact=exact)
-        plan.lookups |= {f"encode:{c}": v for c, v in lookups.items()}
-        df = categorical.apply_encoders(df, steps["encode"], lookups)
+        fold = None
+        if target_folds and roles.target is not None:
+            seen = [col(c) for c in df.columns if c not in (roles.target, KEPT_TARGET)]
+            fold = F.pmod(F.xxhash64(*seen), F.lit(target_folds))
+        steps["encode"], lookups = categorical.fit_encoders(df, early, exact=exact, fold=fold)
+        plan.lookups |= {f"encode:{c}": v for c, v in categorical.without_folds(lookups).items()}
+        if fold is not None:
+            df = df.withColumn("__fold_of_row", fold)
+            fold = F.col("__fold_of_row")
+        df = categorical.apply_encoders(df, steps["encode"], lookups, fold, roles.target).drop("__fold_of_row")
         dummies = categorical.dummy_names(steps["encode"])
     else:
         df = prune.drop_columns(df, string_columns(df, early.features(df)))

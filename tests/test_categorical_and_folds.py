@@ -1,9 +1,12 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabweave.operators import categorical, dates, evaluate, folds, lookup, scaling, selection
+from tabweave.operators.lookup import measure
+from tabweave.plans.feature_plan import fit_plan
 from tabweave.plans.roles import Roles
 
 
@@ -107,3 +110,37 @@ def test_report_with_a_class_never_predicted(spark):
 def test_regression_metrics_of_constant_target(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
     assert tuple(evaluate.regression_metrics(df, "y", "p").first()) == (0.0, 1.0)
+
+
+def test_out_of_fold_means_leave_out_the_own_fold(spark):
+    """Also for null values, null targets, rows without a fold, and values that one fold alone has."""
+    rng = random.Random(1)
+    rows = [(k, rng.choice(["a", "b", "c", None]), rng.choice([1.0, 2.0, 5.0, None]), rng.choice([0, 1, 2])) for k in range(60)]
+    rows += [(100, "alone", 9.0, 1), (101, "a", 3.0, None)]
+    df = spark.createDataFrame(rows, "k int, c string, y double, f int")
+    lookups = measure(categorical.fold_statistics(df, ["c"], "y", F.col("f")), ["c"])
+    means = categorical.fold_means(df, "y", F.col("f"))
+    made = categorical.target_encode_folds(df, lookups, F.col("f"), means, -1.0)
+    assert made.columns == ["k", "y", "f", "c_target_encoded"]
+    for r in made.collect():
+        value = next(x[1] for x in rows if x[0] == r.k)
+        others = [y for _, c, y, f in rows if c == value and c is not None and y is not None and (r.f is None or f != r.f)]
+        rest = [y for _, _, y, f in rows if y is not None and f != r.f]
+        expected = sum(others) / len(others) if others else -1.0 if r.f is None else sum(rest) / len(rest)
+        assert abs(r.c_target_encoded - expected) < 1e-9
+    later = categorical.target_encode(df, categorical.without_folds(lookups), -1.0).collect()
+    known = [y for _, c, y, _ in rows if c == "a" and y is not None]
+    assert all(abs(r.c_target_encoded - sum(known) / len(known)) < 1e-9 for r in later if rows[[x[0] for x in rows].index(r.k)][1] == "a")
+
+
+def test_fit_with_target_folds(spark):
+    rows = [(k, f"v{k % 12}", float(k % 12 + k % 5)) for k in range(240)]
+    df = spark.createDataFrame(rows, "k int, c string, y double")
+    plan, made = fit_plan(df, Roles("y", ("k",)), "regression", target_folds=4)
+    plain, _ = fit_plan(df, Roles("y", ("k",)), "regression")
+    assert made.columns == plan.transform(df).columns == plain.transform(df).columns
+    # scoring knows a value by one number, in the order of the plain means
+    name = "c_target_encoded"
+    known = [[r[0] for r in p.transform(df).groupBy((F.col("k") % 12).alias("m")).agg(F.min(name), F.max(name)).orderBy(F.col("min(c_target_encoded)")).collect()] for p in (plan, plain)]
+    assert known[0] == known[1] and plan.transform(df).select(name).distinct().count() == 12
+    assert made.select(name).distinct().count() > 12
