@@ -360,7 +360,7 @@ def fit_predict_svc_rbf(spark, sf_dir):
 
 @register()
 def fit_predict_gbt_multiclass(spark, sf_dir):
-    """Ten classes of embeddings by one-against-the-rest boosting."""
+    """Ten classes of embeddings by boosting with the softmax loss."""
     df = _vectors(spark, sf_dir)
     names = [f"e{i}" for i in range(64)]
     wide = df.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
@@ -369,6 +369,20 @@ def fit_predict_gbt_multiclass(spark, sf_dir):
     return found.model.transform(data).select("vec_id", "label", "prediction")
 
 
+THREE = "CASE WHEN p_size % 10 < 3 THEN 0 WHEN p_partkey % 7 < 4 THEN 1 ELSE 2 END"
+
+
+@register(f"SELECT p_partkey, ({THREE})::DOUBLE AS label, ({THREE})::DOUBLE AS prediction FROM part")
+def fit_predict_gbt_three_classes(spark, sf_dir):
+    """A planted rule of two columns with three classes."""
+    df = table(spark, sf_dir, "part").select(
+        "p_partkey", F.expr(THREE).cast("double").alias("label"), (F.col("p_size") % 10).alias("s"), (F.col("p_partkey") % 7).alias("t"), (F.col("p_partkey") % 3).alias("u")
+    )
+    data = materialize(assemble(df, ["s", "t", "u"], ["p_partkey", "label"]), "part-rows")
+    found = fit_default(data, "GradientBoostingClassifier", measure_shape(data, "classification"), params={"n_estimators": 3})
+    return found.model.transform(data).select("p_partkey", "label", "prediction")
+
+
 # ---- tuning
 
 

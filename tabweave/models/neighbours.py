@@ -7,7 +7,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +74,7 @@ class _NeighboursReader(MLReader):
         return model
 
 
-class NeighboursModel(Model, _NeighbourParams):
+class NeighboursModel(Model, _NeighbourParams, MLReadable, MLWritable):
     train: DataFrame
 
     def __init__(self):
@@ -96,14 +96,25 @@ class NeighboursModel(Model, _NeighbourParams):
         return cls.read().load(path)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Predict every row. Equal vectors are one query, known by their hash, so neither ties nor retries depend on places."""
+        """Predict every row. Equal vectors are one query, so neither ties nor retries depend on places."""
+        made = self._answered(dataset, [(self.getOrDefault(self.k), self.getOrDefault(self.weights))])
+        return made.withColumnRenamed("__prediction0", self.getPredictionCol())
+
+    def transform_many(self, dataset: DataFrame, settings: list[tuple[int, str]]) -> DataFrame:
+        """Columns __prediction0, __prediction1, ... for each (k, weights), from one search for the largest k."""
+        return self._answered(dataset, settings)
+
+    def _answered(self, dataset: DataFrame, settings: list[tuple[int, str]]) -> DataFrame:
         rows = materialize(dataset.select("*", F.xxhash64(col(self.getFeaturesCol())).alias("__row_id")), "knn-queries")
         queries = rows.select(
             F.col("__row_id").alias("query_id"), vector_to_array(col(self.getFeaturesCol())).alias("query_vector")
         ).dropDuplicates(["query_id"])
-        found = knn_join(queries, self.train, self.getOrDefault(self.k), self.getOrDefault(self.p))
+        found = knn_join(queries, self.train, max(k for k, _ in settings), self.getOrDefault(self.p))
+        if len(settings) > 1:
+            found = materialize(found, "knn-found")
         answer = vote if self.getOrDefault(self.task) == "classification" else average
-        predicted = answer(found, self.getOrDefault(self.weights)).select(
-            F.col("query_id").alias("__row_id"), F.col("prediction").alias(self.getPredictionCol())
-        )
-        return rows.join(predicted, "__row_id", "left").drop("__row_id")
+        out = rows
+        for n, (k, weights) in enumerate(settings):
+            predicted = answer(found.where(F.col("rank") <= k), weights)
+            out = out.join(predicted.select(F.col("query_id").alias("__row_id"), F.col("prediction").alias(f"__prediction{n}")), "__row_id", "left")
+        return out.drop("__row_id")

@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.models.boosting import SoftmaxBoosting
 from tabweave.models.neighbours import Neighbours
 from tabweave.operators.fourier import FourierMap
 from tabweave.operators.svr import EpsilonRegression
@@ -189,8 +190,7 @@ def build(algorithm: str, params: dict, shape: Shape, seed: int = 42) -> Estimat
     if algorithm == "GradientBoostingRegressor":
         return R.GBTRegressor(seed=seed, **s)
     if algorithm == "GradientBoostingClassifier":
-        boosted = C.GBTClassifier(seed=seed, **s)
-        return boosted if shape.classes <= 2 else C.OneVsRest(classifier=boosted)
+        return C.GBTClassifier(seed=seed, **s) if shape.classes <= 2 else SoftmaxBoosting(classes=shape.classes, seed=seed, **s)
     if algorithm in ("KNeighborsClassifier", "KNeighborsRegressor"):
         return Neighbours(task=task, **s)
     if algorithm == "LinearRegression":

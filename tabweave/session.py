@@ -35,3 +35,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table that :func:`scratch_path` named and that no frame in use reads."""
+    if not path.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
