@@ -27,19 +27,29 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 BLOCK_WORDS = 65_536
 SHARDS = 16
+SEED = 3
 #: Words of a shard that one task sorts.
 TASK_WORDS = 8_000_000
 #: More blocks than this in all make the blocks larger: the draw works on counts below 10 ** 9.
 MOST_BLOCKS = 1 << 28
+#: Rows of a table of sources or blocks that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 _PRIME = 2_147_483_647
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``sizes``: every row with size, source_size, target and taken. ``parts``: what each shard holds, in order."""
+    """``sizes``: every row with size, source_size, target and taken. ``parts``: what each shard holds, in order.
+
+    ``sources`` (with their number of blocks), ``placed`` (a row each time a block is taken) and ``partial`` (the rows of blocks that a target
+    cuts) say the same of documents by their blocks, without a row for each.
+    """
 
     sizes: DataFrame
     parts: DataFrame
+    sources: DataFrame
+    placed: DataFrame
+    partial: DataFrame
 
 
 def word_count(text: Column) -> Column:
@@ -131,7 +141,7 @@ def mix(
     most_times: int = MOST_TIMES,
     block_words: int = BLOCK_WORDS,
     shards: int = SHARDS,
-    seed: int = 3,
+    seed: int = SEED,
 ) -> Mix:
     """Mix ``docs`` (doc_id, source, text): shares of all words by the sources' weights.
 
@@ -209,7 +219,7 @@ def _assembled(sized: DataFrame, sources: DataFrame, keyed: DataFrame, partial:
     rows = sized.join(held, same, "left").select("doc_id", "text_hash", "source_key", "size", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     about = sources.select("source_key", "source", "source_size", "target")
     sizes = rows.join(about, "source_key").select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken")
-    return Mix(sizes, parts)
+    return Mix(sizes, parts, sources, placed, partial)
 
 
 def in_order(parts: DataFrame, shards: int, deals: int) -> DataFrame:
@@ -240,26 +250,37 @@ def first_words(text: Column, words: Column) -> Column:
     return F.array_join(F.slice(found, F.lit(1), words.cast("int")), "")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, one row for each time the mix takes one, cut where the target cuts it.
 
-    They lie in the order of the shards, and inside a shard in its order.
+    They lie in the order of the shards, and inside a shard in its order. A document finds its block by its own values, and its block's places
+    in the mix in a small table, so texts move once, to their shard. Only in blocks that a target cuts are rows told apart that repeat id,
+    text and source.
     """
+    seed, shards = options.get("seed", SEED), options.get("shards", SHARDS)
     made = mix(docs, **options)
-    text = F.col("text").cast("string")
-    source = F.col("source").cast("string")
-    keyed = docs.withColumns(
-        {"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text), "__source": F.xxhash64(source, source.isNull()), "__size": word_count(text)}
-    )
-    # rows that repeat id, text and source are one key: each of their parts is met by one of them
-    keyed = keyed.withColumn("__nth", F.row_number().over(_alike("__id", "__hash", "__source")))
-    parts = made.parts.select(
-        F.col("doc_id").alias("__p_id"), F.col("text_hash").alias("__p_hash"), F.xxhash64("source", F.col("source").isNull()).alias("__p_source"), F.col("nth").alias("__p_nth"), F.col("copy").alias("__copy"), F.col("words").alias("__words"),
-        F.struct("shard", "position", "doc_id", "copy", "nth").alias("__at"),
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(
+        row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(source, source.isNull()).alias("source_key"), word_count(text).alias("size")
     )
-    met = F.col("__id").eqNullSafe(F.col("__p_id")) & (F.col("__hash") == F.col("__p_hash")) & (F.col("__source") == F.col("__p_source")) & (F.col("__nth") == F.col("__p_nth"))
-    cut = F.when(F.col("__words") < F.col("__size"), first_words(text, F.col("__words"))).otherwise(text)
-    rows = keyed.join(parts, met).withColumn("text", cut).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "__at.*")
-    shards = options.get("shards", SHARDS)
+    keyed = keyed.filter("size > 0").withColumn("deal", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
+    keyed = keyed.join(_small(materialize(made.sources.select("source_key", "blocks"), "mix-block-numbers")), "source_key")
+    keyed = keyed.withColumn("block", F.pmod(F.col("deal"), F.col("blocks")))
+    key = ["source_key", "block"]
+    rows = keyed.join(_small(made.placed), key)
+    out = ["row", "shard", "copy", "deal", "doc_id"]
+    whole = rows.filter("NOT is_cut").select(*out, F.lit(1).alias("nth"))
+    partial = materialize(made.partial.filter("words > 0").select("doc_id", "text_hash", "source_key", "nth", "words"), "mix-partial")
+    partial = partial.select(*[F.col(c).alias(f"p_{c}") for c in partial.columns])
+    cut = rows.filter("is_cut").withColumn("nth", F.row_number().over(_alike("doc_id", "text_hash", "source_key")))
+    met = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("text_hash") == F.col("p_text_hash")) & (F.col("source_key") == F.col("p_source_key")) & (F.col("nth") == F.col("p_nth"))
+    short = F.when(F.col("p_words") < F.col("size"), first_words(F.col("row")["text"].cast("string"), F.col("p_words"))).otherwise(F.col("row")["text"])
+    cut = cut.join(partial, met).withColumn("row", F.col("row").withField("text", short)).select(*out, "nth")
+    every = whole.unionByName(cut).withColumn("position", F.xxhash64("deal", "copy", F.lit(seed)))
     words = made.sizes.agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("n")).first().n
-    return in_order(rows, shards, _deals(words, shards)).select("row.*")
+    return in_order(every, shards, _deals(words, shards)).select("row.*")
