@@ -32,6 +32,8 @@ RADIUS = 3
 #: Fingerprints of a bucket above which it is split once more.
 CROWDED = 1_000
 BROADCAST_BUCKETS = 400_000
+#: Each node becomes a row for each mask.
+NODES_PER_TASK = 50_000
 #: Bytes of a text whose words are held at once.
 PIECE = 1 << 20
 
@@ -186,7 +188,7 @@ def simhash_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = materialize(fingerprints(docs), "simhash-rows")
     # equal fingerprints meet here; rows combine map-side, however many copies a text has
     nodes = rows.groupBy(F.col("fingerprint").alias("bits")).agg(F.min("doc_id").alias("doc"))
-    nodes = stored(nodes.select(F.col("doc").isNull().alias("none"), "doc", "bits"), "simhash-nodes")
+    nodes = stored(nodes.select(F.col("doc").isNull().alias("none"), "doc", "bits"), "simhash-nodes", NODES_PER_TASK)
     # a node's order is that of its doc_id, nulls last: the least of a component has the component's id
     owner = components(near_fingerprints(nodes, radius))
     owner = owner.select(F.col("node.bits").alias("bits"), F.col("component.doc").alias("least"))
