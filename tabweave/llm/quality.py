@@ -26,6 +26,8 @@ COMMON = {
     "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
 }
 CLASSES = ("lower", "upper", "number", "space", "mark", "symbol", "other")
+#: A language is a code of two or three letters, with or without a region; so there are at most 26^2 + 26^3 languages.
+_LANGUAGE = r"^([a-z]{2,3})(?:[-_].*)?$"
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 _SYMBOL = r"[#*$%&|<>]"
@@ -45,10 +47,10 @@ def _histograms(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", F.regexp_replace("text", r"\p{Ll}+", "").alias("rest"), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("words"))
     frequent = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*sorted({w for ws in COMMON.values() for w in ws})))
     rows = rows.select("*", frequent.alias("frequent"))
-    own = F.col("row.lang").cast("string")
+    own = F.nullif(F.regexp_extract(F.lower(F.col("row.lang").cast("string")), _LANGUAGE, 1), F.lit(""))
     hits = [F.struct(_among("frequent", ws).alias("n"), F.lit(lang).alias("lang")) for lang, ws in sorted(COMMON.items())]
     guess = F.array_max(F.array(*hits))["lang"]
-    rows = rows.select("*", F.when(own.isin(*COMMON), own).otherwise(guess).alias("language"))
+    rows = rows.select("*", F.coalesce(own, guess).alias("language"))
     counted = [_count(F.col("rest"), p) for p in (r"\p{Lu}", r"\p{N}", _SPACE, _MARK, _SYMBOL)]
     rows = rows.select("*", F.length("text").cast("long").alias("n_chars"), F.length("rest").cast("long").alias("n_rest"), *[c.alias(f"c{k}") for k, c in enumerate(counted)])
     seen = [F.col(f"c{k}") for k in range(5)]
@@ -85,12 +87,13 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """For each language its class and word histogram: medians, over all its documents of at least ``LEAST_WORDS`` words.
 
     Shares are rounded to thousandths and counted, so the medians are exact on that grid and don't depend on how rows lie. A
-    language without such documents has no reference.
+    language without such documents has no reference, and one without common words here has an empty word histogram.
     """
     rows = _histograms(docs).filter((F.size("words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS))
     bins = F.concat(_shares(F.col("classes")), _shares(F.col("common")))
     # the positions of one document stay one row until the shares are counted: few distinct values a position
     exploded = rows.select("language", F.posexplode(F.transform(bins, lambda x: F.round(x * 1000).cast("int"))).alias("bin", "share"))
+    exploded = exploded.filter((F.col("bin") < len(CLASSES)) | F.col("language").isin(*COMMON))
     counts = exploded.groupBy("language", "bin", "share").agg(F.count(F.lit(1)).alias("n"))
     grid = counts.groupBy("language", "bin").agg(F.array_sort(F.collect_list(F.struct("share", "n"))).alias("grid"))  # at most 1001 shares
     half = F.aggregate("grid", F.lit(0).cast("long"), lambda a, g: a + g["n"]) / 2
@@ -109,14 +112,17 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return made
 
 
-def _distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, of shares from a fixed reference."""
-    fixed = F.array(*[F.lit(float(x)) for x in q])
+def _fixed(q: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in q])
+
+
+def _distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of shares from a reference."""
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
-    terms = F.zip_with(p, fixed, lambda x, y: part(x, y) + part(y, x))
+    terms = F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
@@ -158,18 +164,21 @@ def judged(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -
     """``row`` (the columns of docs) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance (null where the text is too short or the language has no reference) and kept.
 
-    A null text has no words. Reads ``text`` and ``lang``; an unknown or null lang is the language whose common words occur
-    most. Every row is judged by itself, so repeated rows get equal verdicts.
+    A null text has no words. Reads ``text`` and ``lang``; a lang that is null or no code is the language whose common words occur
+    most. A language without common words here is compared by its characters alone, with documents of the same language. Every row is judged by itself, so repeated rows get equal verdicts.
     """
     rows = _histograms(docs)
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     n = F.size("words").cast("long")
     none = F.lit(None).cast("double")
     by_class, by_word = none, none
-    for lang, (classes, common) in sorted(known.items()):
-        here = F.col("language") == lang
-        by_class = F.when(here & (F.col("n_chars") >= LEAST_CHARS), _distance(_shares(F.col("classes")), classes)).otherwise(by_class)
-        by_word = F.when(here & (F.size("words") >= LEAST_WORDS), _distance(_shares(F.col("common")), common)).otherwise(by_word)
+    if known:
+        langs = sorted(known)
+        classes = F.map_from_arrays(F.array(*map(F.lit, langs)), F.array(*[_fixed(known[x][0]) for x in langs]))
+        by_class = F.when(F.col("n_chars") >= LEAST_CHARS, _distance(_shares(F.col("classes")), F.try_element_at(classes, F.col("language"))))
+    for lang in sorted(known.keys() & COMMON.keys()):
+        here = (F.col("language") == lang) & (F.size("words") >= LEAST_WORDS)
+        by_word = F.when(here, _distance(_shares(F.col("common")), _fixed(known[lang][1]))).otherwise(by_word)
     rows = rows.select(
         "row",
         n.alias("n_words"),

@@ -58,6 +58,20 @@ def test_distances_and_references(spark):
     assert got[10].class_distance > q.MOST_CLASS_DISTANCE and not got[10].kept and not got[11].kept
 
 
+def test_a_language_without_common_words_is_compared_by_its_characters(spark):
+    prose = "Il vecchio pescatore guardava il mare dalla finestra della sua casa e pensava che domani avrebbe trovato ancora molti pesci vicino alla costa. "
+    english = "The men of the town went to a hill and it was for the best that they are with us as was said by the mayor. "
+    rows = [(k, prose * 6 + f"nota {k}", "it") for k in range(5)] + [(10 + k, english * 6 + f"note {k}", "en") for k in range(5)]
+    rows += [(20, "#### $$$$ %%%% &&&& **** " * 40, "it"), (21, english * 6, "en-US"), (22, english * 6, "?"), (23, prose * 6, "IT_it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = q.references(docs)
+    assert set(known) == {"en", "it"} and known["it"][1] == []
+    got = {r.row.doc_id: r for r in q.judged(docs, known).collect()}
+    assert all(got[k].word_distance is None and got[k].class_distance < 0.1 for k in (*range(5), 23))
+    assert got[20].class_distance > q.MOST_CLASS_DISTANCE and got[20].word_distance is None
+    assert all(got[k].word_distance is not None and got[k].word_distance < q.MOST_WORD_DISTANCE for k in (10, 21, 22))
+
+
 def test_stage_and_empty_table(docs, none):
     kept = q.good_documents(docs)
     assert kept.columns == docs.columns
