@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.models import registry, tuning
 from tabweave.models.neighbours import Neighbours, NeighboursModel
-from tabweave.operators import pca
+from tabweave.operators import knn, pca
 from tabweave.operators.fourier import FourierMap
 from tabweave.operators.knn import knn_join
 from tabweave.operators.svr import EpsilonRegression, EpsilonRegressionModel
@@ -157,3 +157,41 @@ def test_svd_equals_numpy(spark):
     np.testing.assert_allclose(singular, np.linalg.svd(x, compute_uv=False)[:5], rtol=1e-9)
     out = {r["i"]: r["z"] for r in add_projection(df, "v", basis, "z").collect()}
     np.testing.assert_allclose([out[i] for i in range(50)], x @ basis, atol=1e-9)
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_knn_parcels_send_each_row_a_few_times_whatever_the_block_sizes(spark, p, monkeypatch):
+    draw = np.random.RandomState(3)
+    train = draw.normal(size=(600, 8))
+    train[300:320] = train[0]
+    t = spark.createDataFrame([(i, v.tolist(), float(i % 3)) for i, v in enumerate(train)], "train_id long, train_vector array<double>, label double")
+    q = t.selectExpr("train_id AS query_id", "train_vector AS query_vector")
+    sent = []
+    parcels = knn._parcels
+
+    def counted(*args):
+        sides = parcels(*args)
+        sent.append(sum(side.count() for side in sides))
+        return sides
+
+    monkeypatch.setattr(knn, "_parcels", counted)
+    order, gaps = brute(train, train, 5, p)
+    # blocks of 8 on 8 cells were 75 copies of each query and 75 of each row
+    for parcel, most in ((None, 2 * 600), (100, 2 * 600 * 9)):
+        rows = knn_join(q, t, 5, p, cells=8, train_block=8, query_block=8, parcel=parcel).orderBy("query_id", "rank").toPandas()
+        assert rows["train_id"].tolist() == order.ravel().tolist()
+        np.testing.assert_allclose(rows["distance"], gaps.ravel(), atol=1e-12)
+        assert sent[-1] <= most
+
+
+def test_knn_screen_of_steps_misses_no_neighbour():
+    draw = np.random.RandomState(5)
+    for width, scale in ((2, 1e-6), (64, 0.1), (64, 1e9), (1500, 1.0)):
+        left, right = scale * draw.normal(size=(30, width)), scale * draw.normal(size=(200, width))
+        right[50:60] = right[0]
+        everything = np.ones((30, 1), bool)
+        for tile in ((7, 9), (256, 2048)):
+            found = list(knn._nearest(left, everything, right, np.zeros(200, int), np.arange(200), 6, 1, tile))
+            order, gaps = brute(left, right, 6, 1)
+            assert np.concatenate([f[1] for f in found]).tolist() == order.ravel().tolist()
+            np.testing.assert_allclose(np.concatenate([f[2] for f in found]), gaps.ravel(), rtol=1e-12)
