@@ -260,8 +260,10 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     once = materialize(once.select("h1", "again", "counts", "held", "asked"), "lines-keyed")
     # a row that repeats as a whole has its lines at one place
     once = once.filter("NOT again").unionByName(once.filter("again").dropDuplicates()).drop("again")
-    met = _meetings(once, edits)
-    # the lines of candidates, once each; h1 alone may stand for two lines, which are then both compared
+    # different lines of one h1 meet under that hash, which no key tells apart
+    shared = distinct.groupBy(F.col("node.h1").alias("x")).count().filter("count > 1").select("x", F.col("x").alias("y"))
+    met = _meetings(once, edits).unionByName(stored(shared, "lines-shared"))
+    # the lines of candidates, once each; h1 alone may stand for several lines, which are then all compared
     wanted = met.select(F.col("x").alias("h1")).unionByName(met.select(F.col("y").alias("h1"))).distinct()
     few = met.count() * 2 <= BROADCAST_LINES
     nodes = distinct.select("node", F.col("node.h1").alias("h1"))
@@ -272,6 +274,7 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     one = met.join(texts.select(F.col("h1").alias("x"), F.col("node").alias("a"), F.col("line").alias("s"), F.col("counts").alias("p")), "x")
     two = one.join(texts.select(F.col("h1").alias("y"), F.col("node").alias("b"), F.col("line").alias("t"), F.col("counts").alias("q")), "y")
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
+    two = two.filter((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
     near = two.filter(apart <= 2 * edits).repartition(F.col("x"), F.col("y")).filter(within_edits(F.col("s"), F.col("t"), edits))
     return distinct, stored(near.select("a", "b").distinct(), "lines-links")
 

@@ -102,3 +102,15 @@ def test_documents(spark, docs, none):
     assert {r.doc_id: r.text for r in ld.without_duplicate_lines(small).collect()} == {1: rows[0][1], 2: "", 3: None, 4: ""}
     assert ld.line_duplicates(docs)[0].count() == docs.select("doc_id").distinct().count()
     assert ld.line_duplicates(none)[0].count() == 0
+
+
+def test_lines_of_one_first_hash_are_compared_with_each_other(spark, monkeypatch):
+    rng = random.Random(8)
+    bases = ["".join(rng.choice("abé ") for _ in range(rng.randint(24, 50))) for _ in range(6)]
+    rows = [(k, "\n".join(edited(rng, rng.choice(bases), 2) for _ in range(4))) for k in range(12)]
+    own = ld._lines
+    monkeypatch.setattr(ld, "_lines", lambda docs: own(docs).withColumn("h1", F.pmod("h1", F.lit(5))))
+    assert linked(spark, rows) == near_pairs(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = [frozenset((r.a, r.b)) for r in ld.line_links(df)[1].collect()]
+    assert len(links) == len(set(links))
