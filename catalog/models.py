@@ -20,7 +20,7 @@ from tabweave.operators.knn import average, knn_join, vote
 from tabweave.operators.selection import assemble
 from tabweave.plans.feature_plan import FeaturePlan, fit_plan
 from tabweave.plans.roles import Roles
-from tabweave.session import materialize, scratch_path
+from tabweave.session import materialize, scratch_path, tasks_for
 from tabweave.sources.tables import prediction_name, predictions_table, read_feature_cache, read_pair, write_feature_cache, write_table
 from tabweave.streaming.scoring import read_stream, score_stream
 
@@ -308,7 +308,8 @@ def _rows(spark, sf_dir, label: str) -> DataFrame:
         "l_orderkey", F.col("l_linenumber").alias("line"), F.expr(label).cast("double").alias("label"), *FIVE
     )
     wide = wide.withColumn("l_extendedprice", F.col("l_extendedprice") / 1000)
-    return materialize(assemble(wide, FIVE, ["l_orderkey", "line", "label"]).repartition(spark.sparkContext.defaultParallelism, "l_orderkey"), "model-rows")
+    tasks = max(spark.sparkContext.defaultParallelism, tasks_for(wide.count(), len(FIVE)))
+    return materialize(assemble(wide, FIVE, ["l_orderkey", "line", "label"]).repartition(tasks, "l_orderkey"), "model-rows")
 
 
 def _predicted(data: DataFrame, algorithm: str, task: str, params: dict) -> DataFrame:

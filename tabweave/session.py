@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What one task holds of rows of numbers, by 8 bytes a number and 24 numbers more a row for objects and keys.
+TASK_BYTES = 64 << 20
+ROW_NUMBERS = 24
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -37,6 +41,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int, width: int) -> int:
+    """Number of tasks for so many rows of ``width`` numbers: a task's share doesn't grow with the input."""
+    return max(1, -(-rows * (width + ROW_NUMBERS) * 8 // TASK_BYTES))
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table that :func:`scratch_path` named and that no frame in use reads."""
     if not path.startswith(shared_folder(spark) + "/"):

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tabweave import session
 from tabweave.models import registry, tuning
 from tabweave.models.neighbours import Neighbours, NeighboursModel
 from tabweave.operators import knn, pca
@@ -195,3 +197,21 @@ def test_knn_screen_of_steps_misses_no_neighbour():
             order, gaps = brute(left, right, 6, 1)
             assert np.concatenate([f[1] for f in found]).tolist() == order.ravel().tolist()
             np.testing.assert_allclose(np.concatenate([f[2] for f in found]), gaps.ravel(), rtol=1e-12)
+
+
+def test_a_task_of_a_tree_fit_has_no_more_rows_in_a_larger_table(spark, monkeypatch):
+    data = labelled(spark).coalesce(2)
+    for rows in (36_000_000, 216_000_000):
+        shape = registry.Shape(rows, 2, 5, 1.0)
+        for algorithm in ("RandomForestClassifier", "DecisionTreeRegressor", "GradientBoostingClassifier"):
+            assert rows / tuning.dealt(data, algorithm, shape).rdd.getNumPartitions() < 300_000
+        assert tuning.dealt(data, "LogisticRegression", shape).rdd.getNumPartitions() == 2
+    assert tuning.dealt(data, "RandomForestClassifier", registry.measure_shape(data, "classification")) is data
+    # the rows that a fit gets are dealt
+    fitted = []
+    monkeypatch.setattr(session, "TASK_BYTES", 10_000)
+    own = RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: fitted.append(rows.rdd.getNumPartitions()) or own(self, rows))
+    found = tuning.fit_default(data, "RandomForestClassifier", registry.measure_shape(data, "classification"), params={"n_estimators": 5, "max_depth": 4})
+    assert fitted == [7]
+    assert tuning.evaluator("classification").evaluate(found.model.transform(data)) > 0.8
