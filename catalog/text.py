@@ -85,8 +85,12 @@ def sql_statistics(prefix: str, text: str, words: str) -> str:
     )
 
 
+DOCUMENTS_PER_TASK = 20_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // DOCUMENTS_PER_TASK)), "doc_id")
 
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

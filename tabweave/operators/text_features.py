@@ -49,8 +49,12 @@ def add_cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def statistics_struct(c: Column) -> Column:
-    """The text statistics as one struct, with the text computed once."""
-    return bind(c, lambda t: F.struct(*[e.alias(k) for k, e in text_statistics(t).items()]))
+    """The text statistics as one struct, with the text and its words computed once."""
+
+    def packed(t: Column, parts: Column, count: Column) -> Column:
+        return F.struct(*[e.alias(k) for k, e in text_statistics(t, parts, count).items()])
+
+    return bind(F.coalesce(c, F.lit("")), lambda t: bind(words(t), lambda w: bind(F.size(w), lambda n: packed(t, w, n))))
 
 
 def add_statistics(df: DataFrame, columns: list[str], source: str = "cleaned") -> DataFrame:
