@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabweave.models.boosting import SoftmaxBoosting
 from tabweave.models.neighbours import Neighbours
 from tabweave.operators.fourier import FourierMap
+from tabweave.operators.kernel_svc import KernelSVC
 from tabweave.operators.svr import EpsilonRegression
 
 DEEPEST = 30
@@ -159,20 +160,13 @@ def spark_params(algorithm: str, params: dict) -> dict:
     return out
 
 
-def _kernel(inner: Estimator, settings: dict, shape: Shape, seed: int) -> Estimator:
-    if settings["kernel"] == "linear":
-        return inner
+def _gamma(settings: dict, shape: Shape) -> float:
     gamma = settings["gamma"]
     if gamma == "scale":
         gamma = 1 / (shape.width * shape.variance) if shape.variance else 1.0
     elif gamma == "auto":
         gamma = 1 / shape.width
-    spread = FourierMap(inputCol="features", outputCol="fourier", gamma=float(gamma), width=shape.width, seed=seed)
-    base = inner.getClassifier() if isinstance(inner, C.OneVsRest) else inner
-    base.setFeaturesCol("fourier") if hasattr(base, "setFeaturesCol") else base._set(featuresCol="fourier")
-    if base is not inner:
-        inner.setFeaturesCol("fourier")
-    return Pipeline(stages=[spread, inner])
+    return float(gamma)
 
 
 def build(algorithm: str, params: dict, shape: Shape, seed: int = 42) -> Estimator:
@@ -199,6 +193,12 @@ def build(algorithm: str, params: dict, shape: Shape, seed: int = 42) -> Estimat
     if algorithm == "LogisticRegression":
         return C.LogisticRegression(regParam=ridge, elasticNetParam=0.0, standardization=False, maxIter=s["maxIter"])
     if algorithm == "SVC":
+        if s["kernel"] == "rbf":
+            return KernelSVC(gamma=_gamma(s, shape), width=shape.width, classes=max(shape.classes, 2), regParam=ridge, seed=seed)
         margin = C.LinearSVC(regParam=ridge, standardization=False)
-        return _kernel(margin if shape.classes <= 2 else C.OneVsRest(classifier=margin), s, shape, seed)
-    return _kernel(EpsilonRegression(c=float(s["C"]), epsilon=float(s["epsilon"])), s, shape, seed)
+        return margin if shape.classes <= 2 else C.OneVsRest(classifier=margin)
+    inner = EpsilonRegression(c=float(s["C"]), epsilon=float(s["epsilon"]))
+    if s["kernel"] == "linear":
+        return inner
+    spread = FourierMap(inputCol="features", outputCol="fourier", gamma=_gamma(s, shape), width=shape.width, seed=seed)
+    return Pipeline(stages=[spread, inner._set(featuresCol="fourier")])

@@ -16,6 +16,13 @@ from pyspark.sql.functions import pandas_udf
 SIZE = 256
 
 
+def fourier_weights(seed: int, gamma: float, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """W and b of the map."""
+    draw = np.random.RandomState(seed)
+    weights = draw.normal(scale=np.sqrt(2 * gamma), size=(width, size))
+    return weights, draw.uniform(0, 2 * np.pi, size=size)
+
+
 class FourierMap(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
     """``x -> sqrt(2/size) cos(Wx + b)`` with rows of W drawn from N(0, 2 gamma) by seed.
 
@@ -33,11 +40,8 @@ class FourierMap(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsR
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        draw = np.random.RandomState(self.getSeed())
-        gamma, width, size = (self.getOrDefault(p) for p in (self.gamma, self.width, self.size))
-        weights = draw.normal(scale=np.sqrt(2 * gamma), size=(width, size))
-        shift = draw.uniform(0, 2 * np.pi, size=size)
-        scale = np.sqrt(2 / size)
+        weights, shift = fourier_weights(*(self.getOrDefault(p) for p in (self.seed, self.gamma, self.width, self.size)))
+        scale = np.sqrt(2 / self.getOrDefault(self.size))
 
         @pandas_udf("array<double>")
         def spread(batch: pd.Series) -> pd.Series:

@@ -1,15 +1,16 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabweave import session
 from tabweave.models import registry, tuning
 from tabweave.models.neighbours import Neighbours, NeighboursModel
-from tabweave.operators import knn, pca
+from tabweave.operators import kernel_svc, knn, pca
 from tabweave.operators.fourier import FourierMap
+from tabweave.operators.kernel_svc import KernelSVCModel
 from tabweave.operators.knn import knn_join
 from tabweave.operators.svr import EpsilonRegression, EpsilonRegressionModel
 from tabweave.operators.topics import add_projection, fit_svd
@@ -215,3 +216,33 @@ def test_a_task_of_a_tree_fit_has_no_more_rows_in_a_larger_table(spark, monkeypa
     found = tuning.fit_default(data, "RandomForestClassifier", registry.measure_shape(data, "classification"), params={"n_estimators": 5, "max_depth": 4})
     assert fitted == [7]
     assert tuning.evaluator("classification").evaluate(found.model.transform(data)) > 0.8
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_kernel_classifier_equals_spark_on_stored_features(spark, tmp_path, classes):
+    draw = np.random.RandomState(6)
+    x = draw.normal(size=(400, 3))
+    far = np.sqrt((x * x).sum(axis=1))
+    y = np.digitize(far, [1.5] if classes == 2 else [1.2, 1.9]).astype(float)
+    data = spark.createDataFrame([(Vectors.dense(v), float(c)) for v, c in zip(x, y)], ["features", "label"]).persist()
+    shape = registry.measure_shape(data, "classification")
+    model = registry.build("SVC", {"kernel": "rbf", "C": 1}, shape).fit(data)
+    made = [r["prediction"] for r in model.transform(data).collect()]
+    spread = FourierMap(inputCol="features", outputCol="fourier", gamma=1 / (shape.width * shape.variance), width=3, seed=42)
+    margin = LinearSVC(featuresCol="fourier", regParam=1 / 400, standardization=False)
+    plain = Pipeline(stages=[spread, margin if classes == 2 else OneVsRest(classifier=margin, featuresCol="fourier")]).fit(data)
+    assert np.mean(np.array(made) == [r["prediction"] for r in plain.transform(data).collect()]) >= 0.97
+    assert np.mean(np.array(made) == y) > 0.9
+    model.write().overwrite().save(str(tmp_path / "svc"))
+    back = KernelSVCModel.load(str(tmp_path / "svc"))
+    assert [r["prediction"] for r in back.transform(data).collect()] == made
+
+
+def test_kernel_classifier_keeps_the_narrow_rows_only(spark):
+    data = labelled(spark, 2_000)
+    stored = kernel_svc.packed(data, "features", "label")
+    held = stored.agg(F.sum(F.length("x") + F.length("y")).alias("n")).first()["n"]
+    # three features and a label of eight bytes; the Fourier features that were stored are 256
+    assert held == 2_000 * 4 * 8
+    with_stage = registry.build("SVC", {"kernel": "rbf"}, registry.measure_shape(data, "classification"))
+    assert isinstance(with_stage, kernel_svc.KernelSVC)
