@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.text import ngrams, term_counts, tokens
+from tabweave.functions.grams import Finder, count_grams
+from tabweave.functions.text import term_counts, tokens
 from tabweave.functions.wordlists import ENGLISH_STOP_WORDS
 from tabweave.plans.roles import col
 
@@ -25,18 +27,30 @@ def kept_tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
-def terms_of(text: Column, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS, sizes: tuple[int, int] = SIZES) -> Column:
-    """N-grams of a text after its stop words are gone."""
-    return ngrams(kept_tokens(text, stop_words), sizes)
+def found_terms(text: Column, spec: dict) -> Column:
+    """The n-grams of a text, after its stop words are gone, that are terms of the vocabulary, as often as it holds them."""
+    finder = Finder(spec["terms"])
 
+    @F.arrow_udf("array<string>")
+    def found(batch: pa.Array) -> pa.Array:
+        return finder.find(batch)
 
-def term_statistics(df: DataFrame, terms: Column) -> DataFrame:
-    """``(term, corpus_count, documents)``; repeats are folded inside each row before the shuffle."""
-    return (
-        df.select(F.inline(term_counts(terms)))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("documents"))
-    )
+    return found(kept_tokens(text, tuple(spec["stop_words"])))
+
+
+def term_statistics(df: DataFrame, sizes: tuple[int, int], words: list[str] | None = None) -> DataFrame:
+    """``(term, corpus_count, documents)`` of the n-grams of the column ``tokens``; with ``words``, of those made of them.
+
+    Repeats are folded inside each batch of rows before the shuffle.
+    """
+
+    def counted(batches):
+        known = None if words is None else pa.array(words, "string")
+        for batch in batches:
+            yield from count_grams(batch.column(0), sizes, known)
+
+    made = df.select("tokens").mapInArrow(counted, "term string, corpus_count long, documents long")
+    return made.groupBy("term").agg(F.sum("corpus_count").alias("corpus_count"), F.sum("documents").alias("documents"))
 
 
 def _ranked(statistics: DataFrame, limit: int) -> list:
@@ -77,14 +91,11 @@ def fit_vocabulary(
     total = df.count()
     most = MAX_DOCUMENT_SHARE * total
     tokenized = df.select(kept_tokens(text, stop_words).alias("tokens"))
-    terms = F.col("tokens")
+    words = None
     if sizes[0] == 1 and sizes[1] > 1:
-        rows = _ranked(term_statistics(tokenized, terms), screen + 1)
+        rows = _ranked(term_statistics(tokenized, (1, 1)), screen + 1)
         words = screening_words(rows[:screen], max_features, most, len(rows) <= screen) if rows else []
-        if words is not None:
-            listed = ", ".join(f"'{w}'" for w in words) or "''"
-            terms = F.expr(f"transform(tokens, w -> CASE WHEN w IN ({listed}) THEN w END)")
-    counted = term_statistics(tokenized, ngrams(terms, sizes))
+    counted = term_statistics(tokenized, sizes, words)
     chosen = _ranked(counted.where(F.col("documents").between(MIN_DOCUMENTS, most)), max_features)
     chosen.sort(key=lambda r: r["term"])
     return {
@@ -100,7 +111,7 @@ def fit_vocabulary(
 def add_vectors(df: DataFrame, text: Column, spec: dict, output: str) -> DataFrame:
     """Add one sparse vector per row: counts, or unit-length TF-IDF weights."""
     kept = df.columns
-    out = df.select("*", terms_of(text, tuple(spec["stop_words"]), tuple(spec["sizes"])).alias("__terms"))
+    out = df.select("*", found_terms(text, spec).alias("__terms"))
     counts = CountVectorizerModel.from_vocabulary(spec["terms"], inputCol="__terms", outputCol="__counts")
     out = counts.transform(out)
     if spec["method"] == "tfidf":
@@ -118,8 +129,7 @@ def long_terms(df: DataFrame, key: str, text: Column, spec: dict) -> DataFrame:
     terms once, for the length of each row's vector.
     """
     vocabulary = df.sparkSession.createDataFrame(list(zip(spec["terms"], spec["idf"])), "term string, idf double")
-    terms = terms_of(text, tuple(spec["stop_words"]), tuple(spec["sizes"]))
-    rows = df.select(col(key), F.monotonically_increasing_id().alias("__row"), terms.alias("__terms"))
+    rows = df.select(col(key), F.monotonically_increasing_id().alias("__row"), found_terms(text, spec).alias("__terms"))
     counted = rows.select(col(key), "__row", F.inline(term_counts(F.col("__terms"))))
     found = counted.join(F.broadcast(vocabulary), "term")
     if spec["method"] != "tfidf":

@@ -1,12 +1,15 @@
 import math
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tabweave.functions import grams
 from tabweave.functions import text as functions
 from tabweave.functions.text import clean_text, ngrams, term_counts, text_statistics, tokens
 from tabweave.functions.wordlists import COMMON_WORDS, EMOTICONS, SPECIAL_MARKS
@@ -125,6 +128,27 @@ def test_tfidf_equals_python(spark, cap, screen):
     assert vectorize.add_vectors(df, F.col("t"), spec, "v").count() == len(DOCS)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 2_000_000])
+def test_grams_of_a_batch_equal_python(monkeypatch, piece):
+    """Runs don't cross rows, also where a batch is cut; null and empty rows hold none, and a term may start another."""
+    monkeypatch.setattr(grams, "PIECE", piece)
+    draw = random.Random(5)
+    rows = [None, [], *[[draw.choice("abcd") * 2 for _ in range(draw.randint(0, 9))] for _ in range(40)], None]
+    made = [Counter(" ".join(r[i : i + n]) for n in (1, 2, 3) for i in range(len(r) - n + 1)) if r else Counter() for r in rows]
+    tokens = pa.array([["zz"], *rows], pa.list_(pa.string())).slice(1)
+    for words in (None, ["aa", "bb", "cc"]):
+        total, held = Counter(), Counter()
+        for batch in grams.count_grams(tokens, (1, 3), words and pa.array(words)):
+            for r in batch.to_pylist():
+                total[r["term"]] += r["corpus_count"]
+                held[r["term"]] += r["documents"]
+        want = [Counter({t: k for t, k in c.items() if words is None or set(t.split()) <= set(words)}) for c in made]
+        assert total == sum(want, Counter()) and held == Counter(t for c in want for t in c)
+    terms = ["aa", "aa bb cc", "bb cc", "dd dd", "qq aa"]
+    found = grams.Finder(terms).find(tokens).to_pylist()
+    assert [Counter(f) for f in found] == [Counter({t: c[t] for t in terms if c[t]}) for c in made]
+
+
 def test_text_columns_are_detected(spark):
     df = spark.createDataFrame([(f"C#{i:012d}", f"some words here {i}", "short", None) for i in range(5)], "id string, prose string, s string, n string")
     assert text_features.detect_text_columns(df, Roles()) == ["prose"]
