@@ -18,9 +18,29 @@ MEMORY = 8
 ARMIJO = 1e-4
 HALVINGS = 20
 TOLERANCE = 1e-6
+#: What one block of rows holds; a pass reads blocks, not rows.
+BLOCK_BYTES = 1 << 18
 
 
-def _loss_and_gradient(rows: DataFrame, weights: np.ndarray, epsilon: float, smooth: float):
+def packed(rows: DataFrame) -> DataFrame:
+    """``(n, width, block)``: the rows ``(x, y)`` as blocks of 8-byte numbers, all x row by row, then all y."""
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            y = batch.column("y").to_numpy()
+            size = max(1, BLOCK_BYTES // (8 * (x.shape[1] + 1)))
+            for k in range(0, len(x), size):
+                part, last = x[k : k + size], y[k : k + size]
+                block = pa.array([part.tobytes() + last.tobytes()], "binary")
+                yield pa.record_batch([pa.array([len(part)], "int32"), pa.array([x.shape[1]], "int32"), block], names=["n", "width", "block"])
+
+    return rows.mapInArrow(pack, "n int, width int, block binary")
+
+
+def _loss_and_gradient(blocks: DataFrame, weights: np.ndarray, epsilon: float, smooth: float):
     """Sum of losses and its gradient: one pass, a partial sum per task, d + 2 numbers read.
 
     The kink at epsilon is rounded by a parabola of width ``smooth`` so that the gradient exists.
@@ -30,19 +50,20 @@ def _loss_and_gradient(rows: DataFrame, weights: np.ndarray, epsilon: float, smo
     def partial(batches):
         total, grad = 0.0, np.zeros(len(w) + 1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(w))
-            residual = x @ w + b - batch.column("y").to_numpy()
-            over = np.abs(residual) - epsilon
-            curved = (over > 0) & (over < smooth)
-            total += np.where(curved, over**2 / (2 * smooth), np.where(over > 0, over - smooth / 2, 0.0)).sum()
-            slope = np.sign(residual) * np.clip(over / smooth, 0.0, 1.0)
-            grad[:-1] += slope @ x
-            grad[-1] += slope.sum()
+            for block in batch.column("block"):
+                numbers = np.frombuffer(block.as_buffer())
+                x, y = np.split(numbers, [len(numbers) // (len(w) + 1) * len(w)])
+                x = x.reshape(len(y), len(w))
+                residual = x @ w + b - y
+                over = np.abs(residual) - epsilon
+                curved = (over > 0) & (over < smooth)
+                total += np.where(curved, over**2 / (2 * smooth), np.where(over > 0, over - smooth / 2, 0.0)).sum()
+                slope = np.sign(residual) * np.clip(over / smooth, 0.0, 1.0)
+                grad[:-1] += slope @ x
+                grad[-1] += slope.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w) + 2, dtype="int32")), pa.array([*grad, total])], ["i", "v"])
 
-    summed = rows.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    summed = blocks.select("block").mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(len(w) + 2)
     for row in summed:
         out[row["i"]] = row["v"]
@@ -50,15 +71,15 @@ def _loss_and_gradient(rows: DataFrame, weights: np.ndarray, epsilon: float, smo
 
 
 def fit_epsilon_regression(
-    rows: DataFrame, count: int, width: int, c: float, epsilon: float, max_iter: int, start: float, smooth: float
+    blocks: DataFrame, count: int, width: int, c: float, epsilon: float, max_iter: int, start: float, smooth: float
 ) -> tuple[np.ndarray, list[float]]:
     """Minimise ``|w|^2 / (2 c n) + mean loss`` by limited-memory BFGS; returns weights and losses.
 
-    The driver keeps a few d-vectors; each evaluation is one Spark aggregate.
+    ``blocks`` is what :func:`packed` makes. The driver keeps a few d-vectors; each evaluation is one Spark aggregate.
     """
 
     def objective(weights: np.ndarray):
-        loss, grad = _loss_and_gradient(rows, weights, epsilon, smooth)
+        loss, grad = _loss_and_gradient(blocks, weights, epsilon, smooth)
         ridge = weights.copy()
         ridge[-1] = 0.0
         return loss / count + ridge @ ridge / (2 * c * count), grad / count + ridge / (c * count)
@@ -116,25 +137,23 @@ class EpsilonRegression(
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> EpsilonRegressionModel:
-        rows = dataset.select(
-            vector_to_array(dataset[self.getFeaturesCol()]).alias("x"), dataset[self.getLabelCol()].cast("double").alias("y")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        facts = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.first(F.size("x")).alias("d"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("spread")
-        ).first()
+        y = dataset[self.getLabelCol()].cast("double").alias("y")
+        rows = dataset.select(vector_to_array(dataset[self.getFeaturesCol()]).alias("x"), y)
+        facts = dataset.select(y).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("spread")).first()
         if not facts["n"]:
             raise ValueError("no rows to fit")
+        blocks = packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
         weights, history = fit_epsilon_regression(
-            rows,
+            blocks,
             facts["n"],
-            facts["d"],
+            blocks.agg(F.first("width")).first()[0],
             self.getOrDefault(self.c),
             self.getOrDefault(self.epsilon),
             self.getMaxIter(),
             facts["mean"],
             SMOOTHING * (facts["spread"] or 1.0),
         )
-        rows.unpersist()
+        blocks.unpersist()
         model = EpsilonRegressionModel(
             featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), weights=weights.tolist()
         )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabweave import session
 from tabweave.models import registry, tuning
 from tabweave.models.neighbours import Neighbours, NeighboursModel
-from tabweave.operators import kernel_svc, knn, pca
+from tabweave.operators import kernel_svc, knn, pca, svr
 from tabweave.operators.fourier import FourierMap
 from tabweave.operators.kernel_svc import KernelSVCModel
 from tabweave.operators.knn import knn_join
@@ -88,6 +88,18 @@ def test_epsilon_regression_finds_the_plane_and_never_climbs(spark):
     assert back.getOrDefault(back.weights) == model.getOrDefault(model.weights)
 
 
+def test_epsilon_regression_reads_blocks_that_hold_every_row(spark, monkeypatch):
+    monkeypatch.setattr(svr, "BLOCK_BYTES", 8 * 4 * 7)
+    rows = spark.range(0, 100, 1, 3).selectExpr("array(id * 0.5, id * 1.0, -id * 2.0) AS x", "id * 3.0 AS y")
+    blocks = svr.packed(rows.selectExpr("CAST(x AS array<double>) AS x", "CAST(y AS double) AS y")).collect()
+    assert max(b["n"] for b in blocks) == 7 and {b["width"] for b in blocks} == {3} and len(blocks) < 20
+    found = []
+    for b in blocks:
+        numbers = np.frombuffer(b["block"])
+        found += [(*x, y) for x, y in zip(numbers[: 3 * b["n"]].reshape(-1, 3).tolist(), numbers[3 * b["n"] :].tolist())]
+    assert sorted(found) == [(i * 0.5, i * 1.0, -i * 2.0, i * 3.0) for i in range(100)]
+
+
 def test_neighbour_model_round_trip(spark):
     data = labelled(spark, 60)
     model = Neighbours(k=3, weights="distance").fit(data)
