@@ -105,9 +105,11 @@ class AutoTable:
         if not self.handle_missing:
             _check_whole(plan.features, data)
         rows = data.select(col(self.target).cast("double").alias("label"), "features")
-        # rows go by their content, so folds don't depend on how they lie; equal rows may change places, and are spread
-        order = F.struct(F.xxhash64("label", "features").alias("hash"), F.monotonically_increasing_id().alias("place"))
-        rows = materialize(rows.select("*", order.alias("row_id")), "matrix")
+        if self.tune:
+            # rows go by their content, so folds don't depend on how they lie; equal rows may change places, and are spread
+            order = F.struct(F.xxhash64("label", "features").alias("hash"), F.monotonically_increasing_id().alias("place"))
+            rows = rows.select("*", order.alias("row_id"))
+        rows = materialize(rows, "matrix")
         shape = measure_shape(rows, self.task)
         fitted = FittedTable(self, plan, text_plan)
         if not self.tune:

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import models
 from tabweave import AutoTable, FeaturePlan, FittedTable, Roles, fit_plan
+from tabweave import automl
 from tabweave.__main__ import run
-from tabweave.session import scratch_path
+from tabweave.session import materialize, scratch_path
 from tabweave.sources.tables import prediction_name, read_feature_cache, read_pair, read_table, write_feature_cache, write_table
 from tabweave.streaming.scoring import read_stream, score_stream
 
@@ -161,3 +163,26 @@ def test_command_line_modes(spark):
     assert spark.read.csv(f"{base}/out/report", header=True).columns == ["class", "precision", "recall", "f1", "support"]
     with pytest.raises(SystemExit):
         run(spark, ["--only_test", "--test", "x"])
+
+
+def test_flagship_joins_its_rows_once_and_stores_no_row_ids(spark, monkeypatch):
+    stored = {}
+
+    def watched(df, name):
+        stored[name] = df.columns
+        return materialize(df, name)
+
+    monkeypatch.setattr(models, "materialize", watched)
+    monkeypatch.setattr(automl, "materialize", watched)
+    folder = scratch_path(spark, "flagship")
+    spark.range(90).selectExpr(
+        "id % 30 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "int(id % 7) AS l_linenumber", "double(id % 13) AS l_quantity",
+        "id * 1.5D AS l_extendedprice", "id % 3 / 100.0D AS l_discount", "id % 5 / 100.0D AS l_tax", "if(id % 2 = 0, 'A', 'R') AS l_returnflag",
+        "if(id % 4 = 0, 'O', 'F') AS l_linestatus", "timestamp'2024-01-01' AS l_shipdate",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(30).selectExpr(
+        "id AS o_orderkey", "if(id % 3 = 0, 'F', 'O') AS o_orderstatus", "id * 2.5D AS o_totalprice", "concat('p', id % 4) AS o_orderpriority"
+    ).write.parquet(f"{folder}/orders.parquet")
+    report = models.flagship(spark, folder)
+    assert report.where("class = 'accuracy'").first()["support"] == 90
+    assert "o_orderpriority" in stored["flagship-rows"] and stored["matrix"] == ["label", "features"]
