@@ -28,7 +28,7 @@ def quantiles(
     """Linear-interpolated quantiles per column; ``None`` for a column without values.
 
     Approximate mode is one ``percentile_approx`` scan. Exact mode uses ``percentile`` for
-    columns with few distinct values, whose buffers stay small, and narrows a bracket round each
+    columns with few distinct values, over their counts, and narrows a bracket round each
     quantile for the rest.
     """
     wanted = {c: list(p) for c, p in wanted.items()}
@@ -48,15 +48,26 @@ def quantiles(
     large = [c for c in names if c not in small]
     out: dict[str, list[float | None]] = {}
     if small:
-        row = df.agg(
-            *[F.percentile(col(c).cast("double"), F.lit(wanted[c])).alias(f"q{i}") for i, c in enumerate(small)]
-        ).first()
-        out |= {c: list(row[f"q{i}"]) if row[f"q{i}"] else [None] * len(wanted[c]) for i, c in enumerate(small)}
+        out |= _counted(df, {c: wanted[c] for c in small})
     if large:
         out |= _bracketed(df, {c: wanted[c] for c in large}, buffer_values)
     return out
 
 
+def _counted(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Quantiles from the counts of each column's values.
+
+    The counts are added up in narrow (column, value) rows first; ``percentile`` over the table would send the values of all
+    columns from every task to a single one.
+    """
+    names, shares = list(wanted), sorted({p for some in wanted.values() for p in some})
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v")) for i, c in enumerate(names)])
+    counts = df.select(F.inline(cells)).where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("i").agg(F.percentile("v", F.lit(shares), F.col("n")).alias("q")).collect()  # a row a column
+    known = {names[r["i"]]: dict(zip(shares, r["q"])) for r in found}
+    return {c: [known[c][p] if c in known else None for p in some] for c, some in wanted.items()}
+
+
 def _bracketed(df: DataFrame, wanted: dict[str, list[float]], buffer_values: int) -> dict[str, list[float]]:
     """Exact order statistics by narrowing value brackets, one fused scan per round.
 

@@ -126,3 +126,27 @@ def test_normalize_rejects_nested_types_unless_kept(spark):
     with pytest.raises(TypeError, match="array"):
         normalize(df, Roles())
     assert normalize(df, Roles(None, ("a",))).first().asDict() == {"a": [1], "d": 1.5, "n": None}
+
+
+def test_counted_quantiles_send_each_value_once_to_the_task_of_its_column(spark):
+    """Of many tasks with the same values no task gets them all from each; nulls don't count, and each column has its own shares."""
+    df = spark.range(0, 4_000, 1, 40).selectExpr("CAST(id % 100 AS double) AS a", "CASE WHEN id % 3 = 0 THEN id % 7 END AS b", "CAST(NULL AS double) AS c")
+    wanted = {"a": [0.0, 0.37, 1.0], "b": [0.5], "c": [0.5]}
+    found = quantiles(df, wanted)
+    rows = df.collect()
+    for c in ("a", "b"):
+        assert found[c] == pytest.approx(np.quantile([r[c] for r in rows if r[c] is not None], wanted[c]).tolist())
+    assert found["c"] == [None]
+    kind, seen = type(df), []
+    run = kind.agg
+
+    def watched(self, *aggs):
+        seen.extend(str(a) for a in aggs)
+        return run(self, *aggs)
+
+    kind.agg = watched
+    try:
+        quantiles(df, wanted)
+    finally:
+        kind.agg = run
+    assert seen and not any("percentile" in a for a in seen)
