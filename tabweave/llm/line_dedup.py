@@ -4,7 +4,7 @@ Two lines within ``EDITS`` edits share one of EDITS + 1 segments of the shorter
 gives its segments as index keys (length, segment number, hash), and for each length up to EDITS below its own the substrings that
 may equal a segment of a line of that length, at the few places that the edits before and after it leave open. Equal keys
 are candidates. They are verified on the full lines with a banded bit-parallel automaton: a bit for each diagonal of the
-band, a word for each number of edits.
+band, a word for each number of edits. Few lines share a key with another one; only theirs are read again and their characters counted.
 
 Equal lines are one line before the join, so a line that occurs very often takes part once. A key that more than ``CROWD``
 lines hold is split by what the lines' character counts have in common: within e edits of each other, a line and one d characters
@@ -28,7 +28,8 @@ EDITS = 2
 #: Shorter lines are duplicates only if equal.
 LEAST_CHARS = 24
 BROADCAST_LINES = 400_000
-BROADCAST_KEYS = 400_000
+#: Of hashes alone.
+BROADCAST_HASHES = 1_000_000
 #: Keys that more lines hold are split by character counts.
 CROWD = 32
 #: Characters whose counts bound the distance from below; the first and the rest of the line in the join, all before the automaton runs.
@@ -66,8 +67,8 @@ def _asked(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _keyed(lines: DataFrame, edits: int) -> DataFrame:
-    """``lines`` with ``held``, the keys under which a line is indexed, and ``asked``, those under which lines of the same length and
-    up to ``edits`` shorter ones may be.
+    """``lines`` with ``asked``, the keys under which lines of the same length and up to ``edits`` shorter ones may be, in the order of
+    :func:`_asked`. Those of its own length without a shift are the keys under which a line is indexed.
 
     Segment k has at most k edits to its left and edits - k to its right, in an alignment that meets it first; both bound its shift. A
     shift over an end of the line gives another substring, which is a candidate at most.
@@ -78,14 +79,28 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
         n = F.col("n") - shorter
         sizes += [n.alias(f"n{shorter}"), F.floor(n / parts).cast("int").alias(f"s{shorter}"), (n % parts).alias(f"l{shorter}")]
     rows = lines.withColumn("n", F.length("line")).select("*", *sizes)
-    held, asked = [], []
+    asked = []
     for shorter, k, shift in _asked(edits):
         start, size = _segment(F.col(f"s{shorter}"), F.col(f"l{shorter}"), k, edits)
-        key = F.xxhash64(f"n{shorter}", F.lit(k), F.substr("line", F.greatest(F.lit(0), start + shift) + 1, size))
-        asked.append(key)
-        if shorter == 0 and shift == 0:
-            held.append(key)
-    return rows.select(*lines.columns, F.array(*held).alias("held"), F.array(*asked).alias("asked"))
+        asked.append(F.xxhash64(f"n{shorter}", F.lit(k), F.substr("line", F.greatest(F.lit(0), start + shift) + 1, size)))
+    return rows.select(*lines.columns, F.array(*asked).alias("asked"))
+
+
+def _entries(once: DataFrame, edits: int) -> DataFrame:
+    """(key, h1, shorter, held, crowded): the asked keys of ``once`` that one line holds and another asks for, with all lines that ask.
+
+    A line asks for what it holds, so such a key has a holder and two different lines. Keys are dealt once, for the look at each key and
+    for the lines of those that stay.
+    """
+    asked = _asked(edits)
+    own = [at for at, (shorter, _, shift) in enumerate(asked) if shorter == 0 and shift == 0]
+    rows = once.select("h1", F.posexplode("asked").alias("at", "key")).repartition("key")
+    held = F.col("at").isin(own)
+    keys = rows.groupBy("key").agg(F.count_if(held).alias("holders"), F.min("h1").alias("low"), F.max("h1").alias("high"))
+    keys = keys.filter((F.col("holders") > 0) & (F.col("low") != F.col("high"))).select("key", (F.col("holders") > CROWD).alias("crowded"))
+    shorter_of = F.array(*[F.lit(shorter) for shorter, _, _ in asked])
+    rows = rows.join(keys.hint("shuffle_hash"), "key")
+    return stored(rows.select("key", "h1", F.get(shorter_of, F.col("at")).alias("shorter"), held.alias("held"), "crowded"), "lines-entries")
 
 
 def _packed_counts(line: Column) -> Column:
@@ -150,26 +165,22 @@ def _taken_out(key: Column, folded: Column, shorter: int, t: int, size: int) ->
     return F.transform(F.array(*choices), split)
 
 
-def _meetings(once: DataFrame, edits: int) -> DataFrame:
+def _meetings(entries: DataFrame, edits: int) -> DataFrame:
     """Pairs of hashes (x, y) of lines that share a key and whose character counts are no further apart than ``edits`` allow."""
-    shorter_of = F.array(*[F.lit(shorter) for shorter, _, _ in _asked(edits)])
-    held = once.select(F.explode("held").alias("key"), F.col("h1").alias("x"), F.col("counts").alias("p"))
-    asked = once.select(F.posexplode("asked").alias("at", "key"), F.col("h1").alias("y"), F.col("counts").alias("q"))
-    asked = asked.select("key", "y", "q", F.get(shorter_of, F.col("at")).alias("shorter"))
-    crowded = stored(held.groupBy("key").count().filter(F.col("count") > CROWD).select("key"), "lines-crowded")
-    few = crowded.count() <= BROADCAST_KEYS
-    other = F.broadcast(crowded) if few else crowded
+    held = entries.filter("held").select("key", "crowded", F.col("h1").alias("x"), F.col("counts").alias("p"))
+    asked = entries.select("key", "crowded", "shorter", F.col("h1").alias("y"), F.col("counts").alias("q"))
     near = (F.col("x") != F.col("y")) & (_apart(F.col("p"), F.col("q")) <= 2 * edits)
-    quiet = held.join(other, "key", "left_anti").join(asked.drop("shorter").withColumnRenamed("key", "wanted"), (F.col("key") == F.col("wanted")) & near)
+    sought = asked.filter("NOT crowded").select(F.col("key").alias("wanted"), "y", "q")
+    quiet = held.filter("NOT crowded").join(sought, (F.col("key") == F.col("wanted")) & near)
     inside, outside = [], []
     for shorter in range(edits + 1):
         for t in range(edits - shorter + 1):
             inside.append(_taken_out(F.col("key"), F.col("f"), shorter, t, t))
             outside.append(F.when(F.col("shorter") == shorter, _taken_out(F.col("key"), F.col("g"), shorter, t, t + shorter)))
     none = F.array().cast("array<struct<shorter:int,t:int,part:bigint>>")
-    split = held.join(other, "key", "left_semi").withColumn("f", _folded(F.col("p")))
+    split = held.filter("crowded").withColumn("f", _folded(F.col("p")))
     split = split.select("x", "p", "f", F.explode(F.concat(*inside)).alias("k")).select("x", "p", "f", "k.*")
-    sought = asked.join(other, "key", "left_semi").withColumn("g", _folded(F.col("q")))
+    sought = asked.filter("crowded").withColumn("g", _folded(F.col("q")))
     sought = sought.select("y", "q", "g", F.explode(F.concat(*[F.coalesce(o, none) for o in outside])).alias("k"))
     sought = sought.select("y", "q", "g", F.col("k.part").alias("wanted"))
     # of the choices that make two lines' counts equal only the smallest takes out no character that both could keep
@@ -256,21 +267,24 @@ def line_links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFram
     few = again.count() <= BROADCAST_LINES
     once = all_lines.filter(length >= LEAST_CHARS).join(F.broadcast(again) if few else again, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
     once = once.filter(F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "line_no"))).select("h1", "line", F.col("first").isNotNull().alias("again"))
-    once = _keyed(once.withColumn("counts", _packed_counts(F.col("line"))), edits)
-    once = materialize(once.select("h1", "again", "counts", "held", "asked"), "lines-keyed")
+    once = materialize(_keyed(once, edits).select("h1", "again", "asked"), "lines-keyed")
     # a row that repeats as a whole has its lines at one place
     once = once.filter("NOT again").unionByName(once.filter("again").dropDuplicates()).drop("again")
+    entries = _entries(once, edits)
     # different lines of one h1 meet under that hash, which no key tells apart
     shared = distinct.groupBy(F.col("node.h1").alias("x")).count().filter("count > 1").select("x", F.col("x").alias("y"))
-    met = _meetings(once, edits).unionByName(stored(shared, "lines-shared"))
-    # the lines of candidates, once each; h1 alone may stand for several lines, which are then all compared
-    wanted = met.select(F.col("x").alias("h1")).unionByName(met.select(F.col("y").alias("h1"))).distinct()
-    few = met.count() * 2 <= BROADCAST_LINES
-    nodes = distinct.select("node", F.col("node.h1").alias("h1"))
-    wanted = stored(nodes.join(F.broadcast(wanted) if few else wanted, "h1").select("node"), "lines-wanted")
-    texts = all_lines.filter(length >= LEAST_CHARS).select(F.struct("doc_id", "line_no", "h1", "h2").alias("node"), "line")
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"])
-    texts = stored(texts.select("node", F.col("node.h1").alias("h1"), "line", _counts(F.col("line")).alias("counts")), "lines-texts", 2_000)
+    shared = stored(shared, "lines-shared")
+    # the lines that share a key, once each; h1 alone may stand for several lines, which are then all compared
+    wanted = stored(entries.select("h1").unionByName(shared.select(F.col("x").alias("h1"))).distinct(), "lines-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted
+    nodes = stored(distinct.select("node", F.col("node.h1").alias("h1")).join(wanted, "h1", "left_semi").select("node"), "lines-nodes")
+    texts = all_lines.filter(length >= LEAST_CHARS).join(wanted, "h1", "left_semi").select(F.struct("doc_id", "line_no", "h1", "h2").alias("node"), "line")
+    texts = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = stored(texts.select("node", F.col("node.h1").alias("h1"), "line", _packed_counts(F.col("line")).alias("counts")), "lines-texts", 2_000)
+    entries = stored(entries.join(texts.select("h1", "counts"), "h1"), "lines-counted")
+    met = _meetings(entries, edits).unionByName(shared)
+    ends = met.select(F.col("x").alias("h1")).unionByName(met.select(F.col("y").alias("h1"))).distinct()
+    texts = stored(texts.join(ends, "h1", "left_semi").withColumn("counts", _counts(F.col("line"))), "lines-compared", 2_000)
     one = met.join(texts.select(F.col("h1").alias("x"), F.col("node").alias("a"), F.col("line").alias("s"), F.col("counts").alias("p")), "x")
     two = one.join(texts.select(F.col("h1").alias("y"), F.col("node").alias("b"), F.col("line").alias("t"), F.col("counts").alias("q")), "y")
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)

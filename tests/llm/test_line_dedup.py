@@ -114,3 +114,29 @@ def test_lines_of_one_first_hash_are_compared_with_each_other(spark, monkeypatch
     df = spark.createDataFrame(rows, "doc_id long, text string")
     links = [frozenset((r.a, r.b)) for r in ld.line_links(df)[1].collect()]
     assert len(links) == len(set(links))
+
+
+def test_only_lines_that_share_a_key_are_counted(spark, monkeypatch):
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdefghijklmnop éü") for _ in range(rng.randint(30, 60))) for _ in range(60)]
+    rows = [(k, line) for k, line in enumerate(lines)] + [(60, lines[7] + "x"), (61, lines[7])]
+    counted = []
+
+    def watched(own):
+        def kept(df, *args):
+            table = own(df, *args)
+            if "counts" in table.columns:
+                counted.append(table.select("h1").distinct().count())
+            return table
+
+        return kept
+
+    monkeypatch.setattr(ld, "stored", watched(ld.stored))
+    monkeypatch.setattr(ld, "materialize", watched(ld.materialize))
+    want = near_pairs(rows)
+    assert len(want) == 1 and linked(spark, rows) == want
+    assert counted and max(counted) == 2
+    # too many lines to broadcast
+    monkeypatch.setattr(ld, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(ld, "BROADCAST_HASHES", 0)
+    assert linked(spark, rows) == want
