@@ -139,4 +139,9 @@ def test_only_lines_that_share_a_key_are_counted(spark, monkeypatch):
     # too many lines to broadcast
     monkeypatch.setattr(ld, "BROADCAST_LINES", 0)
     monkeypatch.setattr(ld, "BROADCAST_HASHES", 0)
-    assert linked(spark, rows) == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert linked(spark, rows) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
