@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
@@ -17,13 +16,24 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tabweave.operators.fourier import SIZE, fourier_weights
 
 #: Rows of a stored block, and rows whose Fourier features are made at once.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 8_192
 MADE_ROWS = 1_024
+#: Bytes of rows that are dealt to blocks by neighbourhood together.
+GROUP_BYTES = 16 << 20
+#: Largest error of a feature that a block takes from others: root of its mean square, the feature itself being a cosine.
+LOST = 1e-6
+#: Turns around the middle of a block up to which single precision holds them.
+NEAR_TURNS = 4.0
+#: Features that a pass makes at once, by rows.
+PASS_NUMBERS = 131_072
+#: Steps of a line search that one pass tries.
+AHEAD = 3
+#: cos(pi u) for u in -0.5 to 0.5 by powers of u squared, to within 5e-8.
+COSINE = np.array([0.99999995, -4.93479283, 4.05841137, -1.33187662, 0.21968961], "float32")
 PARALLEL_CLASSES = 4
 MEMORY = 10
 VALUES = 20
@@ -32,28 +42,95 @@ WOLFE = 0.9
 TRIES = 20
 
 
-def packed(dataset: DataFrame, features: str, label: str) -> DataFrame:
-    """Feature rows and labels as blocks of bytes, which a pass hands to numpy as they are."""
+def neighbourhoods(x: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The places of the rows in groups of at most ``most`` that lie close together: halves along the widest side."""
+    waiting = [np.arange(len(x))]
+    while waiting:
+        places = waiting.pop()
+        if len(places) <= most:
+            yield places
+            continue
+        part = x[places]
+        side = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        order = np.argpartition(part[:, side], len(places) // 2)
+        waiting += [places[order[: len(places) // 2]], places[order[len(places) // 2 :]]]
+
+
+def packed(dataset: DataFrame, features: str, label: str, names: tuple[str, ...] = (), more: Callable[..., tuple] = lambda x, y: ()) -> DataFrame:
+    """Feature rows and labels as blocks of bytes, neighbours together, which a pass hands to numpy as they are.
+
+    ``more`` gives the arrays of the further columns ``names`` of a block.
+    """
+    columns = ["x", "y", *names]
+
+    def blocks(rows: list[np.ndarray], labels: list[np.ndarray]):
+        x, y = np.concatenate(rows), np.concatenate(labels)
+        for places in neighbourhoods(x, BLOCK_ROWS):
+            block = x[places], y[places]
+            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()]) for part in (*block, *more(*block))], columns)
 
     def pack(batches):
+        rows, labels, held = [], [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(start, BLOCK_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(k).flatten().to_numpy().tobytes()]) for k in (0, 1)], ["x", "y"])
+            if not batch.num_rows:
+                continue
+            if batch.column(0).null_count:
+                raise ValueError("labels and features must not be null, NaN or infinite")
+            labels.append(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+            rows.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(labels[-1]), -1))
+            held += rows[-1].nbytes
+            if held >= GROUP_BYTES:
+                yield from blocks(rows, labels)
+                rows, labels, held = [], [], 0
+        if rows:
+            yield from blocks(rows, labels)
 
     rows = dataset.select(vector_to_array(dataset[features]).alias("x"), F.array(dataset[label].cast("double")).alias("y"))
-    return rows.mapInArrow(pack, "x binary, y binary")
+    return rows.mapInArrow(pack, ", ".join(f"{name} binary" for name in columns))
+
 
+def skeleton(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that the others follow from, and the mix of them that makes each feature: all columns are ``kept @ mix`` to within ``LOST``.
 
-def summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Sum of ``part(x, y)``, ``size`` numbers, over all blocks: one vector a task comes back."""
+    Pivoted Cholesky steps on the mean products of the features; what is left on the diagonal is the mean squared error of each.
+    """
+    size = len(gram)
+    left, root, kept = gram.diagonal().copy(), np.zeros((size, size)), []
+    while np.isfinite(gram).all() and left.max() > LOST * LOST:
+        if 2 * len(kept) >= size:
+            return np.arange(size), np.eye(size)
+        at, n = int(left.argmax()), len(kept)
+        root[:, n] = (gram[:, at] - root[:, :n] @ root[at, :n]) / np.sqrt(left[at])
+        left -= root[:, n] ** 2
+        kept.append(at)
+        left[kept] = 0.0
+    if not kept:
+        return np.arange(size), np.eye(size)
+    return np.array(kept), np.linalg.solve(root[kept, : len(kept)].T, root[:, : len(kept)].T)
+
+
+def condensed(x: np.ndarray, y: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The features of a block that a pass must make, the mix for the others, and the sums of all features and of their squares."""
+    size = len(shift)
+    gram, total = np.zeros((size, size)), np.zeros(size)
+    for at in range(0, len(y), MADE_ROWS):
+        made = fourier(x[at : at + MADE_ROWS], weights, shift)
+        gram += made.T @ made
+        total += made.sum(axis=0)
+    kept, mix = skeleton(gram * (size / 2 / len(y)))
+    if len(kept) == size:
+        mix = np.empty(0)
+    return kept.astype("int32"), mix.astype("float32"), np.concatenate([[len(y)], total, gram.diagonal(), [y.sum()]])
+
+
+def summed(blocks: DataFrame, part: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """Sum of ``part`` of the columns of a block, ``size`` numbers, over all blocks: one vector a task comes back."""
 
     def partial(batches):
         total = np.zeros(size)
         for batch in batches:
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                labels = np.frombuffer(y.as_buffer())
-                total += part(np.frombuffer(x.as_buffer()).reshape(len(labels), -1), labels)
+            for row in zip(*batch.columns):
+                total += part(*[value.as_buffer() for value in row])
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["v"])
 
     return np.sum([r["v"] for r in blocks.mapInArrow(partial, "v array<double>").collect()], axis=0)
@@ -68,14 +145,49 @@ def fourier(x: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> np.ndarray
     return np.cos(left, out=left).astype(float) * np.sqrt(2 / len(shift))
 
 
-def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
-    """Limited-memory quasi-Newton steps for a loss with kinks; each evaluation is one pass over the rows.
+def half_cosines(x: np.ndarray, weights: np.ndarray, shift: np.ndarray) -> Iterator[np.ndarray]:
+    """Squares of the cosines of half the angles, some rows at a time in single precision; a cosine is twice that less one.
+
+    Turns are counted from the middle of the rows, which is taken in double precision, as all are where rows lie far apart. What is
+    handed out is overwritten by the next rows.
+    """
+    middle, turns = x.mean(axis=0), weights / (2 * np.pi)
+    start = middle @ turns + shift / (2 * np.pi)
+    moved, turns = x - middle, np.vstack([turns, start - np.rint(start)])
+    near = (np.abs(moved).max(axis=0) @ np.abs(turns[:-1])).max() <= NEAR_TURNS
+    moved = np.hstack([moved, np.ones((len(x), 1))])
+    if near:
+        moved, turns = moved.astype("float32"), turns.astype("float32")
+    rows = max(1, PASS_NUMBERS // len(shift))
+    counted = np.empty((min(rows, len(x)), len(shift)), moved.dtype)
+    whole, angles = np.empty_like(counted), counted if near else np.empty(counted.shape, "float32")
+    made = whole if near else np.empty_like(angles)
+    for at in range(0, len(x), rows):
+        part = moved[at : at + rows]
+        c, w, u, m = (held[: len(part)] for held in (counted, whole, angles, made))
+        np.dot(part, turns, out=c)
+        np.rint(c, out=w)
+        np.subtract(c, w, out=u, casting="same_kind")
+        u *= u
+        np.multiply(u, COSINE[-1], out=m)
+        for power in COSINE[-2:0:-1]:
+            m += power
+            m *= u
+        m += COSINE[0]
+        m *= m
+        yield m
+
+
+def minimise(objective: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], start: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """Limited-memory quasi-Newton steps for a loss with kinks; each call of ``objective`` is one pass over the rows.
+
+    Most steps are shortened once or more, so a pass takes the next ``AHEAD`` lengths together.
 
     A step keeps to directions that go down in every coordinate and to the orthant it starts from, and is shortened or
     lengthened until it meets the strong Wolfe conditions.
     """
     x = start
-    value, grad = objective(x)
+    value, grad = objective([x])[0]
     first, values = value, [math.inf]
     steps: list[np.ndarray] = []
     changes: list[np.ndarray] = []
@@ -94,13 +206,20 @@ def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
         direction = np.where(direction * grad > 0, -direction, 0.0)
         orthant = np.where(x != 0, np.sign(x), -np.sign(grad))
 
-        def moved(size: float) -> tuple[np.ndarray, float, np.ndarray]:
-            there = x + size * direction
-            there = np.where(np.sign(there) == orthant, there, 0.0)
-            return there, *objective(there)
-
         slope = grad @ direction
         size, shrink = (0.5 / np.linalg.norm(grad), 0.1) if iteration < 1 else (1.0, 0.5)
+        tried: dict[float, tuple[np.ndarray, float, np.ndarray]] = {}
+
+        def moved(size: float) -> tuple[np.ndarray, float, np.ndarray]:
+            if size not in tried:
+                sizes = [size]
+                while len(sizes) < AHEAD:
+                    sizes.append(sizes[-1] * shrink)
+                ends = [x + s * direction for s in sizes]
+                ends = [np.where(np.sign(end) == orthant, end, 0.0) for end in ends]
+                tried.update((s, (end, *there)) for s, end, there in zip(sizes, ends, objective(ends)))
+            return tried[size]
+
         found = None
         for _ in range(TRIES + 1):
             there, new, new_grad = moved(size)
@@ -148,7 +267,8 @@ class _KernelParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
 class KernelSVC(Estimator, _KernelParams, HasMaxIter, HasRegParam, HasTol, DefaultParamsReadable, DefaultParamsWritable):
     """Hinge loss on Fourier features with a ridge; more than two classes are one against the rest.
 
-    The input rows are kept, packed in blocks. Their features, many times wider, live for ``MADE_ROWS`` rows at a time.
+    The input rows are kept, packed in blocks of neighbours. Their features, many times wider, live for ``MADE_ROWS`` rows at a time. In a
+    block many of them follow from others, which are all that a pass makes; a block that needs most of them makes all.
     """
 
     @keyword_only
@@ -161,17 +281,9 @@ class KernelSVC(Estimator, _KernelParams, HasMaxIter, HasRegParam, HasTol, Defau
     def _fit(self, dataset: DataFrame) -> KernelSVCModel:
         weights, shift = self._map()
         size, ridge = len(shift), self.getRegParam()
-        blocks = packed(dataset, self.getFeaturesCol(), self.getLabelCol()).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def made(x, y):
-            for at in range(0, len(y), MADE_ROWS):
-                yield fourier(x[at : at + MADE_ROWS], weights, shift), y[at : at + MADE_ROWS]
-
-        def moments(x, y):
-            parts = [np.concatenate([[len(b)], a.sum(axis=0), (a * a).sum(axis=0), [b.sum()]]) for a, b in made(x, y)]
-            return np.sum(parts, axis=0)
-
-        sums = summed(blocks, moments, 2 * size + 2)
+        columns = self.getFeaturesCol(), self.getLabelCol()
+        blocks = packed(dataset, *columns, ("kept", "mix", "sums"), lambda x, y: condensed(x, y, weights, shift)).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = summed(blocks.select("sums"), np.frombuffer, 2 * size + 2)
         n = sums[0]
         if not n:
             raise ValueError("no rows to fit")
@@ -182,25 +294,40 @@ class KernelSVC(Estimator, _KernelParams, HasMaxIter, HasRegParam, HasTol, Defau
         scale = np.where(spread > 0, 1 / np.where(spread > 0, spread, 1.0), 0.0)
 
         def fitted(c: int) -> list[float]:
-            def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-                plain = w[:-1] * scale
-                base = w[-1] - plain @ mean
-
-                def part(x, y):
-                    out = np.zeros(size + 2)
-                    for a, b in made(x, y):
-                        side = np.where(b == c, 1.0, -1.0)
-                        lost = 1 - side * (a @ plain + base)
-                        side *= lost > 0
-                        out[:size] -= side @ a
-                        out[size] -= side.sum()
-                        out[-1] += lost[lost > 0].sum()
-                    return out
-
-                total = summed(blocks, part, size + 2) / n
-                grad = np.append((total[:size] - total[size] * mean) * scale, total[size])
-                grad[:-1] += ridge * plain * scale
-                return total[-1] + ridge * (plain @ plain) / 2, grad
+            def objective(points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+                plains = np.array([w[:-1] * scale for w in points])
+                bases = np.array([w[-1] for w in points]) - plains @ mean
+
+                def part(x, y, kept, mix):
+                    side = np.where(np.frombuffer(y) == c, np.float32(1), np.float32(-1))
+                    chosen, mixed = np.frombuffer(kept, "int32"), None if not mix.size else np.frombuffer(mix, "float32").reshape(-1, size)
+                    short = plains[:, chosen] if mixed is None else plains @ mixed.T.astype(float)
+                    # a feature is high times the square of a cosine, less half of high
+                    high = 2 * np.sqrt(2 / size)
+                    lines, starts = (high * short).astype("float32"), (bases - high / 2 * short.sum(axis=1)).astype("float32")
+                    out, gone = np.zeros((len(points), len(chosen))), np.zeros((len(points), 2))
+                    at, rows = 0, np.frombuffer(x).reshape(len(side), -1)
+                    for made in half_cosines(rows, weights[:, chosen], shift[chosen]):
+                        sides = side[at : at + len(made)]
+                        at += len(made)
+                        for k, (line, start) in enumerate(zip(lines, starts)):
+                            lost = made @ line
+                            lost += start
+                            lost *= sides
+                            np.subtract(1, lost, out=lost)
+                            pulled = sides * (lost > 0)
+                            out[k] -= pulled @ made
+                            gone[k] += -pulled.sum(dtype=float), np.maximum(lost, 0, out=lost).sum(dtype=float)
+                    out = high * out - high / 2 * gone[:, :1]
+                    return np.hstack([out if mixed is None else out @ mixed, gone]).ravel()
+
+                totals = summed(blocks.select("x", "y", "kept", "mix"), part, len(points) * (size + 2)).reshape(len(points), -1) / n
+                found = []
+                for total, plain in zip(totals, plains):
+                    grad = np.append((total[:size] - total[size] * mean) * scale, total[size])
+                    grad[:-1] += ridge * plain * scale
+                    found.append((total[-1] + ridge * (plain @ plain) / 2, grad))
+                return found
 
             w = minimise(objective, np.zeros(size + 1), self.getMaxIter(), self.getTol())
             plain = w[:-1] * scale
@@ -230,13 +357,15 @@ class KernelSVCModel(Model, _KernelParams, DefaultParamsReadable, DefaultParamsW
         weights, shift = self._map()
         margins = np.array(self.getOrDefault(self.weights)).reshape(-1, len(shift) + 1)
 
-        @pandas_udf("double")
-        def predict(batch: pd.Series) -> pd.Series:
-            out = [np.empty(0)]
+        @F.arrow_udf("double")
+        def predict(batch: pa.Array) -> pa.Array:
+            if batch.null_count:
+                raise ValueError("features must not be null")
+            rows, out = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(weights)), [np.empty(0)]
             for at in range(0, len(batch), MADE_ROWS):
-                made = fourier(np.vstack(batch.iloc[at : at + MADE_ROWS].to_numpy()), weights, shift)
+                made = fourier(rows[at : at + MADE_ROWS], weights, shift)
                 found = made @ margins[:, :-1].T + margins[:, -1]
                 out.append((found[:, 0] > 0 if len(margins) == 1 else found.argmax(axis=1)).astype(float))
-            return pd.Series(np.concatenate(out))
+            return pa.array(np.concatenate(out))
 
         return dataset.withColumn(self.getPredictionCol(), predict(vector_to_array(dataset[self.getFeaturesCol()])))

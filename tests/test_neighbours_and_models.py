@@ -9,7 +9,7 @@ from tabweave import session
 from tabweave.models import registry, tuning
 from tabweave.models.neighbours import Neighbours, NeighboursModel
 from tabweave.operators import kernel_svc, knn, pca, svr
-from tabweave.operators.fourier import FourierMap
+from tabweave.operators.fourier import FourierMap, fourier_weights
 from tabweave.operators.kernel_svc import KernelSVCModel
 from tabweave.operators.knn import knn_join
 from tabweave.operators.svr import EpsilonRegression, EpsilonRegressionModel
@@ -258,3 +258,46 @@ def test_kernel_classifier_keeps_the_narrow_rows_only(spark):
     assert held == 2_000 * 4 * 8
     with_stage = registry.build("SVC", {"kernel": "rbf"}, registry.measure_shape(data, "classification"))
     assert isinstance(with_stage, kernel_svc.KernelSVC)
+
+
+@pytest.mark.parametrize("shape, spread", [("near", 1.0), ("far", 1e6)])
+def test_kernel_classifier_makes_only_the_features_that_others_do_not_follow_from(shape, spread):
+    """Of neighbouring rows most features follow from a few; rows of many directions keep all, and so do rows that are not finite."""
+    draw = np.random.RandomState(4)
+    x = draw.normal(size=(3_000, 3)) * [0.1, 0.1, 0.1 * spread]
+    y = (x[:, 0] > 0).astype(float)
+    weights, shift = fourier_weights(42, 0.5, 3, 256)
+    full = kernel_svc.fourier(x, weights, shift)
+    kept, mix, sums = kernel_svc.condensed(x, y, weights, shift)
+    assert (len(kept) < 128) == (shape == "near")
+    made = np.vstack([m.copy() for m in kernel_svc.half_cosines(x, weights[:, kept], shift[kept])])
+    found = (2 * made - 1) * np.sqrt(2 / 256)
+    assert np.abs((found @ mix if shape == "near" else found) - full).max() < 1e-5
+    assert np.allclose(sums, np.concatenate([[3_000], full.sum(axis=0), (full**2).sum(axis=0), [y.sum()]]))
+    x[5, 1] = np.nan
+    kept, mix, sums = kernel_svc.condensed(x, y, weights, shift)
+    assert len(kept) == 256 and not len(mix) and np.isnan(sums).any()
+
+
+def test_neighbourhoods_hold_every_row_once():
+    x = np.random.RandomState(1).randint(0, 3, size=(1_000, 2)).astype(float)
+    parts = list(kernel_svc.neighbourhoods(x, 64))
+    assert max(map(len, parts)) <= 64 and sorted(np.concatenate(parts)) == list(range(1_000))
+
+
+def test_kernel_steps_are_tried_together(monkeypatch):
+    """Steps, ends and the number of lengths looked at stay the same; a pass takes several of them."""
+    draw = np.random.RandomState(2)
+    a, side = draw.normal(size=(300, 8)), np.sign(draw.normal(size=300))
+
+    def hinge(w):
+        lost = 1 - side * (a @ w)
+        return np.maximum(lost, 0).mean() + w @ w / 600, -((side * (lost > 0)) @ a) / 300 + w / 300
+
+    ends, passes = [], []
+    for ahead in (1, 3):
+        calls = []
+        monkeypatch.setattr(kernel_svc, "AHEAD", ahead)
+        ends.append(kernel_svc.minimise(lambda points: calls.append(len(points)) or [hinge(p) for p in points], np.zeros(8), 60, 1e-9))
+        passes.append(len(calls))
+    assert np.array_equal(*ends) and passes[1] < 0.7 * passes[0]
