@@ -11,7 +11,7 @@ from catalog.common import round_columns, rounded, sql_round, table
 from tabweave.functions.wordlists import COMMON_WORDS, EMOTICONS, ENGLISH_STOP_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS
 from tabweave.operators import text_features, topics, vectorize
 from tabweave.plans.roles import Roles, col
-from tabweave.plans.text_plan import fit_text_plan
+from tabweave.plans.text_plan import TextPlan, fit_text_plan
 from tabweave.session import materialize
 
 QUERIES = {}
@@ -310,4 +310,15 @@ def svd_projection(spark, sf_dir):
 def text_features_fitted(spark, sf_dir):
     """All text features of the documents, with topics and reduction."""
     plan, made = fit_text_plan(documents(spark, sf_dir), ["text"], max_features=300)
-    return made.select("doc_id", *plan.numeric, F.element_at("text_svd", 1).alias("first_component"))
+    first = [F.element_at("text_svd", 1).alias("first_component")] if plan.bases else []
+    return spread_features(plan, made.select("doc_id", *plan.numeric, *first, *plan.vectors))
+
+
+def spread_features(plan: TextPlan, made: DataFrame) -> DataFrame:
+    """Topic shares and components of a text plan over numbered columns."""
+    for c in plan.columns:
+        if c in plan.topic_models:
+            made = topics.share_columns(made, f"{c}_topics", plan.topic_models[c].getK(), f"{c}_topic_")
+        if c in plan.bases:
+            made = topics.share_columns(made, f"{c}_svd", plan.bases[c].shape[1], f"{c}_svd_")
+    return made

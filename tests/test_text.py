@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from catalog import text as catalog
 from tabweave.functions import grams
 from tabweave.functions import text as functions
 from tabweave.functions.text import clean_text, ngrams, term_counts, text_statistics, tokens
@@ -217,3 +218,17 @@ def test_statistics_split_a_text_once(spark):
     assert made.drop("t_cleaned").orderBy("i").collect() == plain.orderBy("i").collect()
     plan = made._jdf.queryExecution().analyzed().toString()
     assert len(re.findall(r"split\(", plan)) == 1
+
+
+def test_fitted_text_features_hold_topics_and_all_components(spark, tmp_path):
+    draw = random.Random(3)
+    words = ["".join(draw.choice("bcdfgklm") + draw.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    docs = [(i, " ".join(draw.choices(words[50 * (i % 3) : 50 * (i % 3) + 60], k=30))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.text_features_fitted(spark, str(tmp_path))
+    shares = [c for c in made.columns if c.startswith("text_topic_")]
+    components = [c for c in made.columns if c.startswith("text_svd_")]
+    rows = made.collect()
+    assert len(rows) == 60 and len(shares) == 10 and 20 <= len(components) <= 100
+    assert all(sum(r[c] for c in shares) == pytest.approx(1.0) for r in rows) and len({r[shares[0]] for r in rows}) > 1
+    assert all(r["first_component"] == r["text_svd_0"] and r["text_word_count"] == 30 for r in rows)
