@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.grams import Finder, count_grams
-from tabweave.functions.text import term_counts, tokens
+from tabweave.functions.text import ngrams, term_counts, tokens
 from tabweave.functions.wordlists import ENGLISH_STOP_WORDS
 from tabweave.plans.roles import col
 
@@ -27,6 +27,13 @@ def kept_tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
+def vocabulary_grams(text: Column, spec: dict) -> Column:
+    """The n-grams of a text, after its stop words are gone, that are made of words of the vocabulary's terms; null in place of others."""
+    words = sorted({w for t in spec["terms"] for w in t.split(" ")})
+    known = F.transform(kept_tokens(text, tuple(spec["stop_words"])), lambda w: F.when(w.isin(*words), w))
+    return ngrams(known, tuple(spec["sizes"]))
+
+
 def found_terms(text: Column, spec: dict) -> Column:
     """The n-grams of a text, after its stop words are gone, that are terms of the vocabulary, as often as it holds them."""
     finder = Finder(spec["terms"])
@@ -125,11 +132,11 @@ def add_vectors(df: DataFrame, text: Column, spec: dict, output: str) -> DataFra
 def long_terms(df: DataFrame, key: str, text: Column, spec: dict) -> DataFrame:
     """``(key, term, weight)`` rows for the terms of the vocabulary.
 
-    Only terms that a row holds are made; the vocabulary, at most ``max_features`` rows, is broadcast. TF-IDF shuffles the found
+    Only n-grams of the vocabulary's words are made, on the JVM; the vocabulary, at most ``max_features`` rows, is broadcast. TF-IDF shuffles the found
     terms once, for the length of each row's vector.
     """
     vocabulary = df.sparkSession.createDataFrame(list(zip(spec["terms"], spec["idf"])), "term string, idf double")
-    rows = df.select(col(key), F.monotonically_increasing_id().alias("__row"), found_terms(text, spec).alias("__terms"))
+    rows = df.select(col(key), F.monotonically_increasing_id().alias("__row"), vocabulary_grams(text, spec).alias("__terms"))
     counted = rows.select(col(key), "__row", F.inline(term_counts(F.col("__terms"))))
     found = counted.join(F.broadcast(vocabulary), "term")
     if spec["method"] != "tfidf":
